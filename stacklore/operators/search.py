@@ -13,6 +13,7 @@ from stacklore.operators.catalogue import KEY, has_all_tags
 from stacklore.operators.vectors import knn, top_k
 
 GRAM = 3
+FEW_TEXTS = 64
 _FILTERS = ["text", "project", "language", "tags"]
 
 
@@ -47,42 +48,59 @@ def _grams(text, size):
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
+def _text_keys(specs):
+    """How query texts are probed: ``(key of a query text, keys of an asset text)``.
+
+    A few distinct texts are looked for one by one in a single pass over the
+    asset. Beyond that the first letters of the query text are the key, and an
+    asset offers all its pieces of that length.
+    """
+    texts = specs.where("length(q_text) > 0").select(F.lower("q_text").alias("text"))
+    few = [r[0] for r in texts.distinct().limit(FEW_TEXTS + 1).collect()]
+    if len(few) <= FEW_TEXTS:
+        return F.lower("q_text"), lambda asset: F.array_compact(F.array(
+            F.lit(None).cast("string"), *[F.when(asset.contains(t), F.lit(t)) for t in few]))
+    sizes = [r[0] for r in texts.select(
+        F.least(F.length("text"), F.lit(GRAM))).distinct().collect()]  # at most GRAM values
+    return F.left(F.lower("q_text"), F.lit(GRAM)), lambda asset: F.concat(
+        *[_grams(asset, n) for n in sizes])
+
+
 def keyword_matches(queries: DataFrame, catalogue: DataFrame, k) -> DataFrame:
     """Best k keyword hits per query, as (query_id, project, name, similarity).
 
     Equal filters are evaluated once. Each distinct filter asks for one probe
-    key, a piece of its text or else a filter value; assets offer the keys they
-    have, so the two meet in an equi-join and not in a cross join. The full
-    condition is checked on the joined rows, and each task keeps its best k
-    before anything is shuffled.
+    key, from its text or else a filter value; assets offer the keys they have,
+    so the two meet in an equi-join and not in a cross join. The full condition
+    is checked on the joined rows, and each task keeps its best k before
+    anything is shuffled.
     """
     text, project, language, tags = (F.col(c) for c in _FILTERS)
-    lowered = F.lower(text)
-    asked = queries.select("query_id", *_FILTERS).withColumn("spec", F.xxhash64(
-        F.coalesce(lowered, F.lit("\0")), F.coalesce(project, F.lit("\0")),
-        F.coalesce(F.lower(language), F.lit("\0")),
-        F.coalesce(F.array_join(F.transform(tags, F.lower), "\1"), F.lit("\0"))))
-    asked = asked.withColumn("probe", F.coalesce(
-        F.when(F.length(text) > 0,
-               F.concat(F.lit("text:"), F.left(lowered, F.lit(GRAM)))),
-        F.when(F.length(project) > 0, F.concat(F.lit("project:"), project)),
-        F.when(F.length(language) > 0, F.concat(F.lit("language:"), F.lower(language))),
-        F.when(F.size(tags) > 0, F.concat(F.lit("tag:"), F.lower(tags[0]))),
-    )).where("probe is not null")
-    specs = asked.groupBy("spec").agg(*[
-        F.any_value(c).alias(f"q_{c}") for c in ("probe", *_FILTERS)])
-
-    sizes = [r[0] for r in specs.where("q_probe like 'text:%'").select(
-        F.least(F.length("q_text"), F.lit(GRAM))).distinct().collect()]  # at most GRAM values
-    described = F.lower(F.concat_ws("\0", "name", "description"))
+    spec = F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in (
+        F.lower(text), project, F.lower(language), F.array_join(F.transform(tags, F.lower), "\1"))])
+    asked = queries.select("query_id", *_FILTERS).where(
+        (F.length(text) > 0) | (F.length(project) > 0) | (F.length(language) > 0)
+        | (F.size(tags) > 0)).withColumn("spec", spec)
+    specs = asked.groupBy("spec").agg(*[F.any_value(c).alias(f"q_{c}") for c in _FILTERS])
+    text_key, asset_keys = _text_keys(specs)
+    specs = specs.withColumn("q_probe", F.coalesce(
+        F.when(F.length("q_text") > 0, F.concat(F.lit("text:"), text_key)),
+        F.when(F.length("q_project") > 0, F.concat(F.lit("project:"), "q_project")),
+        F.when(F.length("q_language") > 0, F.concat(F.lit("language:"), F.lower("q_language"))),
+        F.concat(F.lit("tag:"), F.lower(F.get("q_tags", 0)))))
+
+    lowered = F.lower(F.concat_ws("\0", "name", "description"))
     keys = F.concat(
-        *[F.transform(_grams(described, n), lambda g: F.concat(F.lit("text:"), g)) for n in sizes],
+        F.transform(asset_keys(lowered), lambda g: F.concat(F.lit("text:"), g)),
         F.array(F.concat(F.lit("project:"), "project"),
                 F.concat(F.lit("language:"), F.lower("language"))),
         F.transform("tags", lambda t: F.concat(F.lit("tag:"), F.lower(t))),
     )
-    offered = catalogue.select(*KEY, "description", "language", "tags").withColumn(
-        "q_probe", F.explode(F.array_distinct(keys)))
+    offered = (
+        catalogue.select(*KEY, "description", "language", "tags",
+                         F.array_distinct(keys).alias("_keys"))
+        .withColumn("q_probe", F.explode("_keys")).drop("_keys")
+    )
     needle = F.lower("q_text")
     fits = (
         (F.coalesce(F.length("q_text"), F.lit(0)) == 0)

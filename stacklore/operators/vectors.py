@@ -249,7 +249,8 @@ def _close_pairs(units, threshold, pivots, block_rows):
     # Residents are repeated once per visiting group that really occurs.
     groups = visiting.select(*at, "kind", "from_part").distinct().withColumnRenamed(
         "from_part", "visitor")
-    hosts = residents.drop("from_part").join(groups, at).groupBy(*at, "kind", "visitor")
+    hosts = residents.drop("from_part").join(groups, at)
+    hosts = hosts.toDF(*hosts.columns).groupBy(*at, "kind", "visitor")
     across = visitors.cogroup(hosts).applyInPandas(guest_pairs, PAIRS)
     return own.unionByName(across).where(F.col("similarity") >= lower)
 

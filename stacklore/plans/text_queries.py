@@ -73,8 +73,8 @@ def category_clean(spark, d):
     """Control, zero-width and odd space characters around the URLs of pages."""
     page = F.col("page_id")
     raw = F.when(page % 4 == 0, None).when(
-        page % 4 == 1, F.concat(F.lit(" \t​"), "url", F.lit("\n"))).when(
-        page % 4 == 2, F.concat(F.lit("a  b\u0007"), "url")).otherwise("  \r\n")
+        page % 4 == 1, F.concat(F.lit(" \t\u200b"), "url", F.lit("\n"))).when(
+        page % 4 == 2, F.concat(F.lit("a\u00a0 b\u0007"), "url")).otherwise("  \r\n")
     return V.table(spark, d, "pages").select("page_id", X.clean_category(raw).alias("category"))
 
 
@@ -113,15 +113,19 @@ def secret_scan(spark, d):
 
 _MANIFEST = (
     "# tools\n-r base.txt\n\nFlask_{k}==2.0\n  Pandas>=1.0 \nother-pkg\n"
-    "[project]\ndependencies = [\n  \"Num_Py>=1\", 'torch',\n  \"x{k}[all]<2\"\n]\n")
+    "x{k} # note\ndependencies = [\n  \"Num_Py>=1\", 'torch',\n  \"x{k}[all]<2\"\n]\n")
 
 
 @query("manifest_packages", """
     SELECT p_partkey, unnest(['flask-' || p_partkey, 'pandas', 'other-pkg', 'dependencies',
-      'torch', 'num-py', 'x' || p_partkey]) AS package,
-      unnest(['requirements', 'requirements', 'requirements', 'requirements', 'project',
-              'project', 'project']) AS origin FROM part""")
+      'x' || p_partkey]) AS package, 'requirements' AS origin FROM part
+    UNION ALL
+    SELECT DISTINCT p_partkey, replace(lower(unnest(regexp_extract_all(regexp_extract(
+      'dependencies = [' || chr(10) || '  "Num_Py>=1", ''torch'',' || chr(10) || '  "x' || p_partkey
+      || '[all]<2"' || chr(10) || ']', 'dependencies\\s*=\\s*\\[([\\s\\S]*?)\\]', 1),
+      '["'']([^">=<!\\s\\[]+)', 1))), '_', '-'), 'project' FROM part""")
 def manifest_packages(spark, d):
+    """Both readings of one text; the list pattern takes stray commas as it finds them."""
     rows = V.table(spark, d, "part").select("p_partkey", F.replace(
         F.lit(_MANIFEST), F.lit("{k}"), F.col("p_partkey").cast("string")).alias("m"))
 
@@ -130,7 +134,7 @@ def manifest_packages(spark, d):
                            F.lit(name).alias("origin"))
 
     return origin("requirements", C.requirement_packages("m")).unionByName(
-        origin("project", C.toml_packages("m"))).where(~F.col("package").startswith("["))
+        origin("project", C.toml_packages("m")))
 
 
 @query("js_dependencies", """
