@@ -4,8 +4,10 @@ from pyspark.sql import Column, functions as F
 
 from stacklore import constants as K
 
-# The characters Python's str.strip() removes, as a Java character class.
-_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# White space that does not count at the ends of a text, Unicode spaces included.
+SPACE = "".join(map(chr, [
+    *range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287,
+    12288]))
 
 
 def col(c) -> Column:
@@ -13,8 +15,8 @@ def col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Drop leading and trailing white space, Unicode spaces included."""
-    return F.regexp_replace(col(c), rf"\A{_SPACE}+|{_SPACE}+\z", "")
+    """Drop leading and trailing white space; looks at the ends of the text only."""
+    return F.trim(col(c), F.lit(SPACE))
 
 
 def code_hash(code) -> Column:

@@ -1,9 +1,9 @@
 """Exact sequential admission of a save log, as set operations.
 
-Saves of a project arrive in ``seq`` order. A save is rejected when some name
-of the project currently holds its hash; otherwise its name now holds it. So a
-hash can come back (A, B, A) once its holder has moved on, and each decision
-depends on earlier ones.
+Saves of a project arrive in ``seq`` order (unique numbers). A save is rejected
+when some name of the project holds its hash at that time; otherwise its name now
+holds it. So a hash can come back (A, B, A) once its holder has moved on, and each
+decision depends on earlier ones.
 
 Most saves decide at once:
 
@@ -11,12 +11,14 @@ Most saves decide at once:
 * a name whose hashes nobody else saved follows its own log: a save is accepted
   when its hash differs from the one before.
 
-The rest is settled in rounds. Take the last accepted save *a* of a hash, made
-by name *m*. Until the next save of *m* that is not known to be rejected, the
-hash is held, so saves of it are rejected. If that next save is known to be
-accepted, the hash is then free, and the first save of it afterwards is
-accepted. Every round settles at least the earliest open save, all hashes move
-forward together, and each step is an ordered scan over bounded chunks.
+The rest is settled in rounds. An accepted save of a hash holds it until the next
+accepted save of the same name. Where that next save is known to be accepted,
+the first save of the hash after it is accepted too: the save *jumps* there. Jumps
+chain the accepted saves of a hash; a chain of n is followed in log n steps by
+doubling the jumps. Saves that fall into a known hold are rejected. A chain only
+stops where the holder's next save is itself open, which a later round settles,
+so each round settles at least the earliest open save of every project. All
+steps are equi-joins on unique keys and ordered scans over bounded chunks.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +29,7 @@ from stacklore.session import cut_lineage
 NAME = ["project", "name"]
 HASH = ["project", "code_hash"]
 OPEN, ACCEPTED, REJECTED = "open", "accepted", "rejected"
+COLUMNS = ["project", "name", "code_hash", "seq", "status"]
 
 
 def replay_saves(log: DataFrame, width=CHUNK) -> DataFrame:
@@ -35,26 +38,24 @@ def replay_saves(log: DataFrame, width=CHUNK) -> DataFrame:
     per_hash = saves.groupBy(*HASH).agg(
         F.min("seq").alias("_first"),
         (F.min("name") != F.max("name")).alias("_shared"))
-    rows = cut_lineage(
-        with_neighbour(saves.join(per_hash, HASH), NAME, "seq", F.col("code_hash"),
-                       "_before", width=width),
-        "replay")
+    rows = with_neighbour(
+        saves.join(per_hash, HASH), NAME, "seq", F.col("code_hash"), "_before", width=width)
     mixed = rows.groupBy(*NAME).agg(F.max("_shared").alias("_mixed"))
-    rows = rows.join(mixed, NAME).withColumn(
+    rows = cut_lineage(rows.join(mixed, NAME).withColumn(
         "status",
         F.when(F.col("seq") == F.col("_first"), ACCEPTED)
         .when(F.col("_mixed"), OPEN)
         .when(F.col("code_hash").eqNullSafe(F.col("_before")), REJECTED)
         .otherwise(ACCEPTED),
-    ).select("project", "name", "code_hash", "seq", "status", "_mixed")
+    ).select(*COLUMNS, "_mixed"), "replay")
 
     # Only names that touch a shared hash go through the rounds.
-    settled = rows.where(~F.col("_mixed")).drop("_mixed")
-    work = cut_lineage(rows.where("_mixed").drop("_mixed"), "replay")
-    done = [settled]
+    done = [rows.where(~F.col("_mixed")).drop("_mixed")]
+    work = rows.where("_mixed").drop("_mixed")
     while not work.where(F.col("status") == OPEN).isEmpty():
+        work = cut_lineage(_round(work, width), "replay")
         done.append(work.where(F.col("status") == REJECTED))
-        work = cut_lineage(_round(work.where(F.col("status") != REJECTED), width), "replay")
+        work = work.where(F.col("status") != REJECTED)
     done.append(work)
     result = done[0]
     for part in done[1:]:
@@ -63,18 +64,56 @@ def replay_saves(log: DataFrame, width=CHUNK) -> DataFrame:
 
 
 def _round(rows: DataFrame, width) -> DataFrame:
-    rows = with_neighbour(
+    nexts = with_neighbour(
         rows, NAME, "seq", F.struct("seq", "status"), "_next", ahead=True, width=width)
-    rows = with_neighbour(rows, HASH, "seq", F.col("seq"), "_prev_seq", width=width)
-    holder = F.when(F.col("status") == ACCEPTED, F.struct(
-        F.col("_next.seq").alias("until"),
-        (F.col("_next.status") == ACCEPTED).alias("certain")))
-    rows = with_last_known(rows, HASH, "seq", holder, "_held", width=width)
-    until = F.col("_held.until")
+    open_hashes = rows.where(F.col("status") == OPEN).select(*HASH).distinct()
+    active = cut_lineage(
+        nexts.join(open_hashes, HASH, "left_semi").select(
+            *HASH, "seq", "status", F.col("_next.seq").alias("until"),
+            (F.col("_next.status") == ACCEPTED).alias("certain")), "replay")
+    reached = _follow(_jumps(active, width))
+    known = active.join(reached, [*HASH, "seq"])
+    holder = F.when(F.col("reached"), F.struct("until"))
+    scanned = with_last_known(known, HASH, "seq", holder, "_held", width=width)
     # At ``until`` itself the holder has not moved on yet.
-    held = until.isNull() | (F.col("seq") <= until)
-    first_after = F.col("_held.certain") & (F.col("_prev_seq") < until)
-    verdict = F.when(held, REJECTED).when(first_after, ACCEPTED).otherwise(OPEN)
-    return rows.withColumn(
-        "status", F.when(F.col("status") == OPEN, verdict).otherwise(F.col("status"))
-    ).select("project", "name", "code_hash", "seq", "status")
+    held = F.col("_held.until").isNull() | (F.col("seq") <= F.col("_held.until"))
+    verdicts = scanned.where(F.col("status") == OPEN).select(*HASH, "seq", F.when(
+        F.col("reached"), ACCEPTED).when(held, REJECTED).otherwise(OPEN).alias("_verdict"))
+    return rows.join(verdicts, [*HASH, "seq"], "left").withColumn(
+        "status", F.coalesce("_verdict", "status")).select(*COLUMNS)
+
+
+def _jumps(active: DataFrame, width) -> DataFrame:
+    """Add ``jump``: the first save of the hash after the one that ends the hold."""
+    # Saves get even places and ends of holds odd ones, so they never tie.
+    saves = active.select(
+        *HASH, (F.col("seq") * 2).alias("_at"), F.col("seq").alias("_target"),
+        F.lit(None).cast("long").alias("_from"))
+    ends = active.where("certain").select(
+        *HASH, (F.col("until") * 2 + 1).alias("_at"), F.lit(None).cast("long").alias("_target"),
+        F.col("seq").alias("_from"))
+    found = with_last_known(
+        saves.unionByName(ends), HASH, "_at", F.col("_target"), "jump", ahead=True, width=width)
+    jumps = found.where("_from is not null").select(*HASH, F.col("_from").alias("seq"), "jump")
+    return active.select(*HASH, "seq", (F.col("status") == ACCEPTED).alias("reached")).join(
+        jumps, [*HASH, "seq"], "left")
+
+
+def _follow(nodes: DataFrame) -> DataFrame:
+    """All saves that accepted saves lead to; the jumps double in every step."""
+    nodes = cut_lineage(nodes, "replay")
+    while True:
+        hits = nodes.where("reached and jump is not null").select(
+            *HASH, F.col("jump").alias("seq"), F.lit(True).alias("_hit")).distinct()
+        further = nodes.select(*HASH, F.col("seq").alias("jump"), F.col("jump").alias("_further"))
+        nodes = cut_lineage(
+            nodes.join(hits, [*HASH, "seq"], "left")
+            .join(further, [*HASH, "jump"], "left")
+            .select(*HASH, "seq", F.col("_further").alias("jump"),
+                    (F.col("reached") | F.coalesce("_hit", F.lit(False))).alias("reached"),
+                    (~F.col("reached") & F.coalesce("_hit", F.lit(False))).alias("_new")),
+            "replay")
+        fresh = not nodes.where("_new").isEmpty()
+        nodes = nodes.drop("_new")
+        if not fresh:
+            return nodes.select(*HASH, "seq", "reached")

@@ -54,17 +54,19 @@ def with_running_sum(df: DataFrame, keys, order, value, out, width=CHUNK):
     )
 
 
-def with_last_known(df: DataFrame, keys, order, value, out, width=CHUNK):
-    """Add ``out`` = the latest non-null ``value`` of the key before this row."""
+def with_last_known(df: DataFrame, keys, order, value, out, ahead=False, width=CHUNK):
+    """Add ``out`` = the nearest non-null ``value`` of the key before (or after) this row."""
     rows = _chunked(df, order, width).withColumn("_v", value)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(
+    direction = (lambda c: F.col(c).desc()) if ahead else (lambda c: F.col(c).asc())
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(direction(order)).rowsBetween(
         Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
+    across = Window.partitionBy(*keys).orderBy(direction("_chunk")).rowsBetween(
         Window.unboundedPreceding, -1)
+    closing = F.min_by if ahead else F.max_by
     known = F.col("_v").isNotNull()
     carried = (
         rows.groupBy(*keys, "_chunk")
-        .agg(F.max_by("_v", F.when(known, F.col(order))).alias("_edge"))
+        .agg(closing("_v", F.when(known, F.col(order))).alias("_edge"))
         .withColumn("_carry", F.last("_edge", ignorenulls=True).over(across))
         .drop("_edge")
     )
