@@ -56,14 +56,15 @@ def mirror_read_tree(spark, path) -> DataFrame:
             "_path", r"projects/([^/]+)/metadata/", 1)))
         .where("name is not null").drop("_path")
     )
-    files = spark.read.option("wholetext", True).text(
-        f"{path}/projects/*/functions/*/*").withColumn("_path", F.url_decode("_metadata.file_path"))
+    # Read as bytes: the text reader drops the last line end.
+    files = spark.read.format("binaryFile").load(f"{path}/projects/*/functions/*/*").withColumn(
+        "_path", F.url_decode("_metadata.file_path"))
     code = files.select(
         F.regexp_extract("_path", _PATH, 1).alias("project"),
         F.regexp_extract("_path", _PATH, 3).alias("name"),
         F.regexp_extract("_path", _PATH, 2).alias("language"),
         F.regexp_extract("_path", _PATH, 4).alias("extension"),
-        F.col("value").alias("code"))
+        F.decode("content", "UTF-8").alias("code"))
     return mirror_join(meta, code)
 
 
