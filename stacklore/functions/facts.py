@@ -21,7 +21,6 @@ _ARROW_FACTS = pa.list_(pa.struct([
     ("size", pa.int32()), ("params", pa.int32()), ("flag", pa.bool_()),
     ("lineno", pa.int32()), ("end_lineno", pa.int32()),
 ]))
-_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.ExceptHandler,
              ast.With, ast.AsyncWith, ast.IfExp)
 
@@ -54,55 +53,77 @@ def _hollow(function):
     return isinstance(only, ast.Pass) or constant_of(only) is Ellipsis
 
 
-def _node_facts(node, top_level):
-    at = {"lineno": getattr(node, "lineno", None), "end_lineno": getattr(node, "end_lineno", None)}
-    if isinstance(node, ast.Import):
-        for alias in node.names:
-            yield dict(at, kind="import", name=alias.name, detail="import", size=0, flag=top_level)
-    elif isinstance(node, ast.ImportFrom):
-        yield dict(at, kind="import", name=node.module, detail="from", size=node.level,
-                   flag=top_level)
-    elif isinstance(node, _FUNCTIONS):
-        args = node.args
-        count = len(args.args) + len(args.kwonlyargs) + bool(args.vararg) + bool(args.kwarg)
-        detail = "function" if isinstance(node, ast.FunctionDef) else "async"
-        yield dict(at, kind="function", name=node.name, detail=detail, size=_complexity(node),
-                   params=count, flag=_hollow(node))
-    elif isinstance(node, ast.ClassDef):
-        yield dict(at, kind="class", name=node.name)
-        for item in node.body:
-            if isinstance(item, ast.FunctionDef):
-                yield dict(kind="method", name=item.name, detail=node.name,
-                           lineno=item.lineno, end_lineno=item.end_lineno)
-    elif isinstance(node, ast.Assert):
-        yield dict(at, kind="assert", flag=_constant(node.test))
-    elif isinstance(node, ast.Assign):
-        text = getattr(node.value, "value", None) if isinstance(node.value, ast.Constant) else None
-        if isinstance(text, str):
-            for target in node.targets:
-                if isinstance(target, ast.Name):
-                    yield dict(at, kind="text_assign", name=target.id, size=len(text))
-    elif isinstance(node, ast.Call):
-        owner = getattr(node.func, "value", None)
-        name = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
-        if isinstance(name, str):
-            shell = sum(k.arg == "shell" and getattr(k.value, "value", None) is True
-                        for k in node.keywords)
-            yield dict(at, kind="call", name=name, detail=getattr(owner, "id", None),
-                       size=shell, flag=all(map(_constant, node.args)))
-    elif isinstance(node, ast.Name):
-        yield dict(at, kind="name", name=node.id)
-    elif isinstance(node, ast.Attribute):
-        yield dict(at, kind="name", name=node.attr)
+def _import(node):
+    return [dict(kind="import", name=a.name, detail="import", size=0) for a in node.names]
+
+
+def _import_from(node):
+    return [dict(kind="import", name=node.module, detail="from", size=node.level)]
+
+
+def _function(node):
+    args = node.args
+    count = len(args.args) + len(args.kwonlyargs) + bool(args.vararg) + bool(args.kwarg)
+    detail = "function" if isinstance(node, ast.FunctionDef) else "async"
+    return [dict(kind="function", name=node.name, detail=detail, size=_complexity(node),
+                 params=count, flag=_hollow(node))]
+
+
+def _methods(node):
+    return [dict(kind="method", name=m.name, detail=node.name, lineno=m.lineno,
+                 end_lineno=m.end_lineno) for m in node.body if isinstance(m, ast.FunctionDef)]
+
+
+def _text_assign(node):
+    text = node.value.value if isinstance(node.value, ast.Constant) else None
+    named = [t for t in node.targets if isinstance(t, ast.Name) and isinstance(text, str)]
+    return [dict(kind="text_assign", name=t.id, size=len(text)) for t in named]
+
+
+def _call(node):
+    name = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
+    if not isinstance(name, str):
+        return []
+    shell = [k for k in node.keywords
+             if k.arg == "shell" and getattr(k.value, "value", None) is True]
+    owner = getattr(getattr(node.func, "value", None), "id", None)
+    return [dict(kind="call", name=name, detail=owner, size=len(shell),
+                 flag=all(map(_constant, node.args)))]
+
+
+# What each kind of fact reads, and from which nodes.
+_READERS = {
+    "import": {ast.Import: _import, ast.ImportFrom: _import_from},
+    "function": dict.fromkeys((ast.FunctionDef, ast.AsyncFunctionDef), _function),
+    "class": {ast.ClassDef: lambda n: [dict(kind="class", name=n.name)]},
+    "method": {ast.ClassDef: _methods},
+    "text_assign": {ast.Assign: _text_assign},
+    "call": {ast.Call: _call},
+    "assert": {ast.Assert: lambda n: [dict(kind="assert", flag=_constant(n.test))]},
+    "name": {ast.Name: lambda n: [dict(kind="name", name=n.id)],
+             ast.Attribute: lambda n: [dict(kind="name", name=n.attr)]},
+}
 
 
 def parse_facts(source, kinds):
     """All facts of the wanted kinds, or one ``syntax_error`` fact."""
+    readers = {}
+    for kind in kinds:
+        for node_type, read in _READERS[kind].items():
+            readers.setdefault(node_type, []).append(read)
     try:
         tree = ast.parse(source or "")
         top = set(map(id, tree.body))
-        return [f for node in ast.walk(tree) for f in _node_facts(node, id(node) in top)
-                if f["kind"] in kinds]
+        found = []
+        for node in ast.walk(tree):
+            for read in readers.get(type(node), ()):
+                for fact in read(node):
+                    fact.setdefault("lineno", node.lineno)
+                    fact.setdefault("end_lineno", node.end_lineno)
+                    if fact["kind"] == "import":
+                        fact["flag"] = id(node) in top
+                    found.append(fact)
+        return found
     except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
         return [{"kind": "syntax_error", "detail": type(error).__name__}]
 

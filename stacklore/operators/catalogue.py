@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from stacklore import constants as K, schemas
 from stacklore.functions.text import project_or_default
 from stacklore.operators.scan import CHUNK, with_neighbour, with_running_sum
+from stacklore.session import cut_lineage
 
 KEY = ["project", "name"]
 HASH = ["project", "code_hash"]
@@ -55,10 +56,15 @@ def scan(catalogue: DataFrame) -> DataFrame:
 # ---- saves -----------------------------------------------------------------
 
 def version_history(log: DataFrame, width=CHUNK) -> DataFrame:
-    """Version of every save: one more whenever the hash differs from the one before."""
+    """Version of every save: one more whenever the hash differs from the one before.
+
+    Pass a narrow log. Its rows are written once between the two scans, which read
+    their input twice each.
+    """
     rows = with_neighbour(log, KEY, "seq", F.col("code_hash"), "_before", width=width)
-    rows = rows.withColumn(
-        "is_new_version", ~F.col("code_hash").eqNullSafe(F.col("_before"))).drop("_before")
+    rows = cut_lineage(rows.withColumn(
+        "is_new_version", ~F.col("code_hash").eqNullSafe(F.col("_before"))).drop("_before"),
+        "versions")
     return with_running_sum(
         rows, KEY, "seq", F.col("is_new_version").cast("int"), "version", width=width
     ).withColumn("version", F.col("version").cast("int"))

@@ -11,9 +11,10 @@ from stacklore import constants as K
 from stacklore.functions.text import wants_generation
 from stacklore.operators.catalogue import KEY, has_all_tags
 from stacklore.operators.vectors import knn, top_k
+from stacklore.session import cut_lineage
 
 GRAM = 3
-FEW_TEXTS = 64
+FEW_TEXTS = 4096
 _FILTERS = ["text", "project", "language", "tags"]
 
 
@@ -49,21 +50,24 @@ def _grams(text, size):
 
 
 def _text_keys(specs):
-    """How query texts are probed: ``(key of a query text, keys of an asset text)``.
+    """How query texts are probed: (key of a query text, keys of an asset text, exact).
 
-    A few distinct texts are looked for one by one in a single pass over the
-    asset. Beyond that the first letters of the query text are the key, and an
-    asset offers all its pieces of that length.
+    Up to ``FEW_TEXTS`` distinct texts are looked for one by one in each asset,
+    and the key is the text itself. Beyond that the key is the first letters of
+    the text, and an asset offers all its pieces of that length.
     """
     texts = specs.where("length(q_text) > 0").select(F.lower("q_text").alias("text"))
     few = [r[0] for r in texts.distinct().limit(FEW_TEXTS + 1).collect()]
     if len(few) <= FEW_TEXTS:
-        return F.lower("q_text"), lambda asset: F.array_compact(F.array(
-            F.lit(None).cast("string"), *[F.when(asset.contains(t), F.lit(t)) for t in few]))
+        wanted = F.array(F.lit(None).cast("string"), *[F.lit(t) for t in few])
+
+        # The outer transform binds the asset text, so it is built once per row.
+        return F.lower("q_text"), lambda asset: F.flatten(F.transform(
+            F.array(asset), lambda x: F.filter(wanted, lambda t: x.contains(t)))), True
     sizes = [r[0] for r in texts.select(
         F.least(F.length("text"), F.lit(GRAM))).distinct().collect()]  # at most GRAM values
-    return F.left(F.lower("q_text"), F.lit(GRAM)), lambda asset: F.concat(
-        *[_grams(asset, n) for n in sizes])
+    return F.left(F.lower("q_text"), F.lit(GRAM)), lambda asset: F.array_distinct(F.concat(
+        *[_grams(asset, n) for n in sizes])), False
 
 
 def keyword_matches(queries: DataFrame, catalogue: DataFrame, k) -> DataFrame:
@@ -71,9 +75,8 @@ def keyword_matches(queries: DataFrame, catalogue: DataFrame, k) -> DataFrame:
 
     Equal filters are evaluated once. Each distinct filter asks for one probe
     key, from its text or else a filter value; assets offer the keys they have,
-    so the two meet in an equi-join and not in a cross join. The full condition
-    is checked on the joined rows, and each task keeps its best k before
-    anything is shuffled.
+    so the two meet in an equi-join of narrow rows and not in a cross join. Each
+    task keeps its best k before the last shuffle.
     """
     text, project, language, tags = (F.col(c) for c in _FILTERS)
     spec = F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in (
@@ -82,39 +85,41 @@ def keyword_matches(queries: DataFrame, catalogue: DataFrame, k) -> DataFrame:
         (F.length(text) > 0) | (F.length(project) > 0) | (F.length(language) > 0)
         | (F.size(tags) > 0)).withColumn("spec", spec)
     specs = asked.groupBy("spec").agg(*[F.any_value(c).alias(f"q_{c}") for c in _FILTERS])
-    text_key, asset_keys = _text_keys(specs)
+    text_key, asset_keys, exact = _text_keys(specs)
     specs = specs.withColumn("q_probe", F.coalesce(
         F.when(F.length("q_text") > 0, F.concat(F.lit("text:"), text_key)),
         F.when(F.length("q_project") > 0, F.concat(F.lit("project:"), "q_project")),
         F.when(F.length("q_language") > 0, F.concat(F.lit("language:"), F.lower("q_language"))),
         F.concat(F.lit("tag:"), F.lower(F.get("q_tags", 0)))))
 
-    lowered = F.lower(F.concat_ws("\0", "name", "description"))
+    described = F.lower(F.concat_ws("\0", "name", "description"))
+    tag_keys = F.array_distinct(F.transform("tags", F.lower))
     keys = F.concat(
-        F.transform(asset_keys(lowered), lambda g: F.concat(F.lit("text:"), g)),
+        F.transform(asset_keys(described), lambda g: F.concat(F.lit("text:"), g)),
         F.array(F.concat(F.lit("project:"), "project"),
                 F.concat(F.lit("language:"), F.lower("language"))),
-        F.transform("tags", lambda t: F.concat(F.lit("tag:"), F.lower(t))),
-    )
-    offered = (
-        catalogue.select(*KEY, "description", "language", "tags",
-                         F.array_distinct(keys).alias("_keys"))
-        .withColumn("q_probe", F.explode("_keys")).drop("_keys")
+        F.transform(tag_keys, lambda t: F.concat(F.lit("tag:"), t)),
     )
-    needle = F.lower("q_text")
+    # Plain explode would add a filter that works the keys out a second time.
+    offered = catalogue.select(
+        *KEY, F.lower("language").alias("language"), tag_keys.alias("tags"), keys.alias("_keys")
+    ).withColumn("q_probe", F.explode_outer("_keys")).drop("_keys")
     fits = (
-        (F.coalesce(F.length("q_text"), F.lit(0)) == 0)
-        | F.lower("name").contains(needle) | F.lower("description").contains(needle)
-    ) & (
         F.col("q_project").isNull() | (F.col("q_project") == F.col("project"))
     ) & (
-        F.col("q_language").isNull() | (F.lower("q_language") == F.lower("language"))
+        F.col("q_language").isNull() | (F.lower("q_language") == F.col("language"))
     ) & (
         F.col("q_tags").isNull() | (F.size(F.array_except(
-            F.transform("q_tags", F.lower), F.transform("tags", F.lower))) == 0)
+            F.transform("q_tags", F.lower), "tags")) == 0)
     )
-    hits = offered.join(specs, "q_probe").where(fits).select(
-        "spec", *KEY, F.lit(K.KEYWORD_SIMILARITY).alias("similarity"))
+    hits = offered.join(specs, "q_probe").where(fits).select("spec", "q_text", *KEY)
+    if not exact:
+        needle = F.lower("q_text")
+        texts = catalogue.select(*KEY, described.alias("_described"))
+        hits = hits.join(texts, KEY).where(
+            (F.coalesce(F.length("q_text"), F.lit(0)) == 0)
+            | F.col("_described").contains(needle))
+    hits = hits.select("spec", *KEY, F.lit(K.KEYWORD_SIMILARITY).alias("similarity"))
     best = top_k(hits, k, by=("spec",)).drop("rank")
     return asked.select("query_id", "spec").join(best, "spec").drop("spec")
 
@@ -131,7 +136,7 @@ def hybrid_search(queries: DataFrame, catalogue: DataFrame, vectors: DataFrame,
     The best k of each leg are enough: an asset in the final k has its score
     from one leg, and fewer than k assets can stand before it there.
     """
-    queries = route_tags(queries)
+    queries = cut_lineage(route_tags(queries), "queries")  # read several times
     keyword = keyword_matches(queries, catalogue, k)
     vector = knn(queries.where("embedding is not null"), vectors, k)
     return top_k(hybrid_union(keyword, vector), k)

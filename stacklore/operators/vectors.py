@@ -11,11 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stacklore.session import cut_lineage
+
 KEY = ["project", "name"]
 DIGITS = 6
 BLOCK_ROWS = 8192
 QUERY_BLOCK_ROWS = 4096
 SENT_QUERY_BYTES = 32 * 1024 * 1024
+MAX_PIVOTS = 1024
 _PRODUCT_CELLS = 8_000_000
 MATCHES = "query_id long, project string, name string, similarity double"
 
@@ -84,7 +87,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k, threshold=None,
     ``queries``: query_id, project (null = all projects), embedding; both sides
     as ``vector_prepare`` leaves them. Order: similarity, then project and name.
     """
-    queries = queries.select("query_id", "project", "embedding")
+    queries = cut_lineage(queries.select("query_id", "project", "embedding"), "queries")
     vectors = vectors.select(*KEY, "embedding")
     size = queries.agg(
         F.count("*").alias("rows"), F.sum(F.size("embedding") * 8).alias("bytes")).first()
@@ -158,7 +161,7 @@ PAIRS = ("project_a string, name_a string, project_b string, name_b string, "
          "similarity double")
 
 
-def near_duplicate_pairs(vectors: DataFrame, threshold, pivots=64,
+def near_duplicate_pairs(vectors: DataFrame, threshold, pivots=None,
                          block_rows=BLOCK_ROWS) -> DataFrame:
     """Pairs of a project whose cosine reaches ``threshold``, a before b.
 
@@ -167,10 +170,12 @@ def near_duplicate_pairs(vectors: DataFrame, threshold, pivots=64,
     pivot. By the triangle inequality a partner within distance e of x lies in a
     cell whose pivot is at most 2e further from x than x's own, so x also
     visits those cells of higher number and every pair is met exactly once,
-    with no pair missed. Cells are cut into blocks that meet in a grid.
+    with no pair missed. Cells are cut into blocks that meet in a grid. There is
+    one pivot per block of rows, up to a fixed number.
     """
     vectors = vectors.select(*KEY, "embedding")
-    firsts = vectors.groupBy("project", "embedding").agg(F.min("name").alias("first_name"))
+    firsts = cut_lineage(vectors.groupBy("project", "embedding").agg(
+        F.min("name").alias("first_name")), "firsts")
     copies = (
         vectors.join(firsts, ["project", "embedding"]).where("name <> first_name")
         .select(F.col("project").alias("project_a"), F.col("first_name").alias("name_a"),
@@ -183,6 +188,8 @@ def near_duplicate_pairs(vectors: DataFrame, threshold, pivots=64,
 
 def _close_pairs(units, threshold, pivots, block_rows):
     spark = units.sparkSession
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, max(1, units.count() // block_rows))
     # Any unit vectors serve as pivots; these are spread by their hash.
     rows = units.orderBy(F.xxhash64("name", "project")).limit(pivots).select("embedding").collect()
     if not rows:
@@ -205,9 +212,10 @@ def _close_pairs(units, threshold, pivots, block_rows):
             batch["visits"] = [np.flatnonzero(r).astype("int32") for r in near]
             yield batch
 
-    placed = units.mapInPandas(
+    # Written once: the vectors are read from here by every step below.
+    placed = cut_lineage(units.mapInPandas(
         place, "project string, name string, embedding array<double>, home int, "
-               "visits array<int>")
+               "visits array<int>"), "placed")
     sizes = placed.groupBy("project", "home").agg(
         F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
     sized = placed.join(sizes, ["project", "home"]).withColumn(

@@ -291,8 +291,7 @@ def env_drift(spark, d):
     SELECT project, name, seq, code_hash, version, is_new_version FROM versions""",
     "save_log", "versions"))
 def version_history(spark, d):
-    log = V.save_log(spark, d).select(*C.KEY, "seq", "code_hash")
-    return C.version_history(log)
+    return C.version_history(V.narrow_log(spark, d).drop("ts"))
 
 
 @query("current_state", with_views("""
@@ -308,7 +307,7 @@ def current_state(spark, d):
            {stamp('archived_at')} AS archived_at FROM intervals""",
     "save_log", "versions", "intervals"))
 def history_intervals(spark, d):
-    return C.history_intervals(V.save_log(spark, d)).select(
+    return C.history_intervals(V.narrow_log(spark, d)).select(
         *C.KEY, "version", "code_hash", _time("started_at"), _time("archived_at"))
 
 
@@ -321,7 +320,7 @@ AS_OF = "2024-01-01 12:00:00"
       AND (archived_at IS NULL OR archived_at > TIMESTAMP '{AS_OF}')""",
     "save_log", "versions", "intervals"))
 def as_of_state(spark, d):
-    return C.as_of_state(V.save_log(spark, d), AS_OF).select(*C.KEY, "version", "code_hash")
+    return C.as_of_state(V.narrow_log(spark, d), AS_OF).select(*C.KEY, "version", "code_hash")
 
 
 @query("dedupe_first_seen", with_views("""
@@ -330,7 +329,7 @@ def as_of_state(spark, d):
     FROM (SELECT *, min(seq) OVER w AS first_seq, arg_min(name, seq) OVER w AS first_name
           FROM save_log WINDOW w AS (PARTITION BY project, code_hash))""", *LOG))
 def dedupe_first_seen(spark, d):
-    log = V.save_log(spark, d).select("seq", *C.KEY, "code_hash")
+    log = V.narrow_log(spark, d).drop("ts")
     return C.dedupe_first_seen(log).drop("code_hash")
 
 
@@ -399,7 +398,7 @@ def merge_upsert(spark, d):
 
 @query("replay_saves")
 def replay_saves(spark, d):
-    return replay.replay_saves(V.save_log(spark, d))
+    return replay.replay_saves(V.narrow_log(spark, d))
 
 
 @query("call_counts", with_views("""

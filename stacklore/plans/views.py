@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stacklore.functions.text import code_hash
+from stacklore.session import cut_lineage
 
 START = 1704067200  # 2024-01-01 00:00:00 UTC
 SEARCH_WORDS = ["ther", "tion", "with", "elle", "der", "que", "and", "para"]
@@ -48,6 +49,12 @@ def save_log(spark, sf_dir) -> DataFrame:
     return save_requests(table(spark, sf_dir, "documents"))
 
 
+def narrow_log(spark, sf_dir) -> DataFrame:
+    """The log without texts, written once: hashing reads every text only one time."""
+    log = save_log(spark, sf_dir).select("project", "name", "seq", "ts", "code_hash")
+    return cut_lineage(log, "log")
+
+
 def assets_flat(spark, sf_dir) -> DataFrame:
     """One asset per document."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
