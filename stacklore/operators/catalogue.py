@@ -232,17 +232,16 @@ def catalogue_mirror_diff(catalogue: DataFrame, mirror: DataFrame) -> DataFrame:
 
 
 def restore_union(catalogue: DataFrame, restored: DataFrame) -> DataFrame:
-    """Current rows plus the restored (project, name, hash) rows not among them."""
+    """All (project, name, hash) rows of both sides, each once, with their origin.
+
+    Union, intersection and difference come from one aggregation.
+    """
     key = [*KEY, "code_hash"]
-    missing = restored.select(*key).exceptAll(catalogue.select(*key)).distinct()
-    held = restored.select(*key).intersect(catalogue.select(*key))
-    return (
-        catalogue.select(*key).withColumn("origin", F.lit("current"))
-        .join(held.withColumn("_both", F.lit(True)), key, "left")
-        .withColumn("origin", F.when(F.col("_both"), "both").otherwise(F.col("origin")))
-        .drop("_both")
-        .unionByName(missing.withColumn("origin", F.lit("restored")))
-    )
+    sides = catalogue.select(*key, F.lit(True).alias("_here")).unionByName(
+        restored.select(*key, F.lit(False).alias("_here")))
+    return sides.groupBy(*key).agg(
+        F.when(~F.max("_here"), "restored").when(F.min("_here"), "current")
+        .otherwise("both").alias("origin"))
 
 
 def vector_desync(catalogue: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from stacklore.functions.text import embedding_input
 
@@ -20,4 +20,4 @@ def text_embedding(rows: DataFrame, document, dimension=768) -> DataFrame:
     fitted = Pipeline(stages=stages).fit(prepared)
     return fitted.transform(prepared).withColumn(
         "embedding", vector_to_array("_unit")
-    ).drop("_input", "_words", "_counts", "_weights", "_unit").where(F.size("embedding") > 0)
+    ).drop("_input", "_words", "_counts", "_weights", "_unit")

@@ -58,7 +58,7 @@ def _text_keys(specs):
     """
     texts = specs.where("length(q_text) > 0").select(F.lower("q_text").alias("text"))
     few = [r[0] for r in texts.distinct().limit(FEW_TEXTS + 1).collect()]
-    if len(few) <= FEW_TEXTS:
+    if len(few) <= FEW_TEXTS and sum(map(len, few)) <= FEW_TEXTS * 64:
         wanted = F.array(F.lit(None).cast("string"), *[F.lit(t) for t in few])
 
         # The outer transform binds the asset text, so it is built once per row.
@@ -84,7 +84,9 @@ def keyword_matches(queries: DataFrame, catalogue: DataFrame, k) -> DataFrame:
     asked = queries.select("query_id", *_FILTERS).where(
         (F.length(text) > 0) | (F.length(project) > 0) | (F.length(language) > 0)
         | (F.size(tags) > 0)).withColumn("spec", spec)
-    specs = asked.groupBy("spec").agg(*[F.any_value(c).alias(f"q_{c}") for c in _FILTERS])
+    # Written out, its size is known, and a small one is broadcast to the assets.
+    specs = cut_lineage(asked.groupBy("spec").agg(
+        *[F.any_value(c).alias(f"q_{c}") for c in _FILTERS]), "specs")
     text_key, asset_keys, exact = _text_keys(specs)
     specs = specs.withColumn("q_probe", F.coalesce(
         F.when(F.length("q_text") > 0, F.concat(F.lit("text:"), text_key)),
@@ -143,8 +145,12 @@ def hybrid_search(queries: DataFrame, catalogue: DataFrame, vectors: DataFrame,
 
 
 def hydrate(matches: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Catalogue columns of the matches, in one join."""
-    return matches.join(catalogue, KEY)
+    """Catalogue columns of the matches, in one join.
+
+    The matches are written first: their size is then known, so few of them are
+    broadcast and the catalogue is not shuffled.
+    """
+    return cut_lineage(matches, "matches").join(catalogue, KEY)
 
 
 def generation_intent(queries: DataFrame, best: DataFrame) -> DataFrame:

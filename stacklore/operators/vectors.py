@@ -18,6 +18,7 @@ DIGITS = 6
 BLOCK_ROWS = 8192
 QUERY_BLOCK_ROWS = 4096
 SENT_QUERY_BYTES = 32 * 1024 * 1024
+MERGE_ROWS = 500_000
 MAX_PIVOTS = 1024
 _PRODUCT_CELLS = 8_000_000
 MATCHES = "query_id long, project string, name string, similarity double"
@@ -80,6 +81,13 @@ def _block_matches(queries, vectors, k, threshold):
     return pd.concat(out) if out else None
 
 
+def _best(parts, k):
+    """Best k rows per query of several blocks of one task."""
+    rows = pd.concat(parts).sort_values(
+        ["query_id", "similarity", *KEY], ascending=[True, False, True, True])
+    return rows.groupby("query_id").head(k)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k, threshold=None,
         block_rows=BLOCK_ROWS, sent_bytes=SENT_QUERY_BYTES) -> DataFrame:
     """k best (project, name, similarity) per query, exactly.
@@ -108,9 +116,17 @@ def _send_queries(queries, vectors, k, threshold):
     sent = spark.sparkContext.broadcast(queries.toPandas())  # at most ``sent_bytes``
 
     def match(batches):
+        asked = sent.value
+        kept, held = [], 0
         for batch in batches:
-            if len(batch) and len(sent.value):
-                yield _block_matches(sent.value, batch, k, threshold)
+            if len(batch) and len(asked):
+                kept.append(_block_matches(asked, batch, k, threshold))
+                held += len(kept[-1])
+            if held > MERGE_ROWS + 2 * k * len(asked):
+                kept = [_best(kept, k)]
+                held = len(kept[0])
+        if kept:
+            yield _best(kept, k)
 
     return vectors.mapInPandas(match, MATCHES)
 
@@ -119,8 +135,9 @@ def _grid(queries, vectors, k, threshold, query_rows, block_rows):
     bins = max(1, -(-vectors.count() // block_rows))
     query_blocks = max(1, -(-query_rows // QUERY_BLOCK_ROWS))
     # A project takes as many neighbouring bins as its rows need.
-    spread = vectors.groupBy("project").agg(
-        F.least(F.ceil(F.count("*") / block_rows), F.lit(bins)).cast("int").alias("_parts"))
+    spread = cut_lineage(vectors.groupBy("project").agg(
+        F.least(F.ceil(F.count("*") / block_rows), F.lit(bins)).cast("int").alias("_parts")),
+        "spread")
 
     def bin_of(part):
         return F.pmod(F.xxhash64("project") + part, F.lit(bins)).cast("int")

@@ -1,5 +1,7 @@
 """Catalogue tables derived from the given test tables."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stacklore.functions.text import code_hash
@@ -93,17 +95,12 @@ def search_queries(spark, sf_dir) -> DataFrame:
     Their number follows the labels and projects and not the rows. Queries of
     even labels search every project.
     """
-    mean = (
-        vectors(spark, sf_dir)
-        .select("label", "project", F.posexplode("embedding").alias("pos", "x"))
-        .groupBy("label", "project", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-        .groupBy("label", "project").agg(F.array_sort(
-            F.collect_list(F.struct("pos", "x"))).alias("cells"))  # one cell per dimension
-    )
+    mean = vectors(spark, sf_dir).groupBy("label", "project").agg(
+        Summarizer.mean(array_to_vector("embedding")).alias("mean"))
     query_id = (F.col("label") * 1000 + F.substring("project", 4, 9).cast("int")).cast("long")
     return mean.select(
         query_id.alias("query_id"), pick(SEARCH_WORDS, query_id % 8).alias("text"),
-        F.transform("cells", lambda c: c["x"]).alias("embedding"),
+        vector_to_array("mean").alias("embedding"),
         F.when(F.col("label") % 2 == 1, F.col("project")).alias("project"),
         F.lit(None).cast("string").alias("language"),
         F.lit(None).cast("array<string>").alias("tags"))

@@ -16,6 +16,16 @@ LOCAL_SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
+# What the jobs expect of a cluster, beside its own sizes. Skewed joins are split
+# even where that costs a shuffle, and streaming state lives outside the heap.
+CLUSTER_SETTINGS = {
+    **LOCAL_SETTINGS,
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 
 def local_session(cpus="*", partitions=8, memory="8g", **extra):
     """A session for tests and the benchmark; a cluster brings its own."""

@@ -27,14 +27,19 @@ def write_metadata(catalogue: DataFrame, path):
     meta = catalogue.drop("embedding").withColumns(
         {**{c: F.to_json(c) for c in lists}, "folder": F.col("folder")
             if "folder" in catalogue.columns else F.col("project")})
-    meta.write.partitionBy("folder").json(f"{path}/metadata")
+    _by_folder(meta).json(f"{path}/metadata")
 
 
 def write_code(catalogue: DataFrame, path):
-    catalogue.select(
+    _by_folder(catalogue.select(
         *KEY, F.lower("language").alias("language"), extension("language").alias("extension"),
         "code", F.col("project").alias("folder"),
-    ).write.partitionBy("folder").parquet(f"{path}/code")
+    )).parquet(f"{path}/code")
+
+
+def _by_folder(rows: DataFrame):
+    """A writer with few files per folder; folders too large for a task are split."""
+    return rows.hint("rebalance", "folder").write.partitionBy("folder")
 
 
 def mirror_read(spark, path) -> DataFrame:

@@ -34,14 +34,14 @@ def finish(query):
 
 # ---- saves: first seen per (project, hash) -----------------------------------
 
-SAVE_FIELDS = ["seq", "name", "ts", "description", "language"]
+SAVE_FIELDS = ["seq", "name", "ts", "language"]
 
 
 def ingest_saves(saves: DataFrame, path, trigger=None):
     """Admit the first save of every (project, hash).
 
-    Streaming state holds one row per hash and survives restarts. It never
-    expires: a copy is a copy however late it comes.
+    Streaming state holds one small row per hash, no text, and survives restarts.
+    It never expires: a copy is a copy however late it comes.
     """
     first = saves.groupBy(*HASH).agg(
         F.min_by(F.struct(*SAVE_FIELDS), "seq").alias("save"))
