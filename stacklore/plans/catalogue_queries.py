@@ -49,18 +49,18 @@ def json_columns_decode(spark, d):
 
 
 @query("mirror_read", with_views(f"""
-    SELECT project, name, language, doc_id % 5 <> 0 AS code_from_file,
-           {code_hash("CASE WHEN doc_id % 5 = 0 THEN code ELSE code || ' edited' END")}
+    SELECT project, name, language, language <> 'es' AS code_from_file,
+           {code_hash("CASE WHEN language = 'es' THEN code ELSE code || ' edited' END")}
              AS code_hash,
            array_to_string(tags, ',') AS tags FROM assets_flat""", *FLAT))
 def mirror_read(spark, d):
-    """Files edited by hand: their code wins, and some have no code file."""
+    """Files edited by hand: their code wins; Spanish assets have no code file."""
     path = scratch_dir(spark, "mirror")
     flat = V.assets_flat(spark, d).select(
         "doc_id", "project", "name", "code", "language", "tags", "code_hash")
     mirror.write_metadata(flat.withColumn("folder", F.col("project")).withColumn(
         "project", F.when(F.col("doc_id") % 2 == 0, F.col("project"))).drop("doc_id"), path)
-    mirror.write_code(flat.where("doc_id % 5 <> 0").withColumn(
+    mirror.write_code(flat.where("language <> 'es'").withColumn(
         "code", F.concat("code", F.lit(" edited"))), path)
     return mirror.mirror_read(spark, path).select(
         "project", "name", "language", "code_from_file", "code_hash", _joined("tags"))
@@ -396,7 +396,23 @@ def merge_upsert(spark, d):
             *columns, F.lit("history").alias("kind")))
 
 
-@query("replay_saves")
+# One save after the other per project, with what every name holds as a map.
+REPLAY_SQL = "WITH RECURSIVE " + with_views("", "save_log").strip()[5:] + """, ordered AS (
+      SELECT *, row_number() OVER (PARTITION BY project ORDER BY seq) AS n FROM save_log),
+    run AS (
+      SELECT DISTINCT project, 0::BIGINT AS n, ''::VARCHAR AS name, ''::VARCHAR AS code_hash,
+             -1::BIGINT AS seq, ''::VARCHAR AS status, MAP([''], ['']) AS holds FROM save_log
+      UNION ALL
+      SELECT o.project, o.n, o.name, o.code_hash, o.seq,
+             CASE WHEN list_contains(map_values(holds), o.code_hash) THEN 'rejected'
+                  ELSE 'accepted' END,
+             CASE WHEN list_contains(map_values(holds), o.code_hash) THEN holds
+                  ELSE map_concat(holds, MAP([o.name], [o.code_hash])) END
+      FROM run JOIN ordered o ON o.project = run.project AND o.n = run.n + 1)
+    SELECT project, name, code_hash, seq, status FROM run WHERE n > 0"""
+
+
+@query("replay_saves", REPLAY_SQL)
 def replay_saves(spark, d):
     return replay.replay_saves(V.narrow_log(spark, d))
 

@@ -370,16 +370,18 @@ def lint_density_score(spark, d):
 
 def _stabilised(spark, d):
     flat = V.assets_flat(spark, d)
-    results = flat.where("doc_id % 7 <> 6").select(
-        "project", "name", F.when(F.col("doc_id") % 2 == 0, 100.0).otherwise(0.0)
-        .alias("runtime_score"), F.lit("Logic error").alias("reason"))
+    # Labelled documents were run; the others have no result.
+    results = flat.where("verification_status <> 'pending'").select(
+        "project", "name", F.when(F.col("verification_status") == "verified", 100.0)
+        .otherwise(0.0).alias("runtime_score"), F.lit("Logic error").alias("reason"))
     return S.stabilise_drafts(catalogue.draft_filter(flat), results)
 
 
 _STABLE = """stable AS (
     SELECT project, name, CASE WHEN doc_id % 5 = 0 THEN 'skipped'
-             WHEN doc_id % 7 <> 6 AND doc_id % 2 = 0 THEN 'promoted' ELSE 'failed' END AS outcome,
-           CASE WHEN doc_id % 7 = 6 THEN 'no result' ELSE 'Logic error' END AS reason,
+             WHEN verification_status = 'verified' THEN 'promoted' ELSE 'failed' END AS outcome,
+           CASE verification_status WHEN 'pending' THEN 'no result' ELSE 'Logic error' END
+             AS reason,
            description, reliability_score
     FROM assets_flat WHERE contains(description, '[AI-DRAFT]'))"""
 _STABLE_SQL = with_views("", "assets_flat").rstrip() + ", " + _STABLE

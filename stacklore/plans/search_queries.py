@@ -186,9 +186,9 @@ def generation_intent(spark, d):
     WHERE t.s < 0.45 AND q.query_id % 2 = 0""", "vectors", "search_queries", "cosines"))
 def search_rerank_draft(spark, d):
     """Three times as many results, re-ordered by replies, with drafts for weak ones."""
-    queries = _queries(spark, d)
-    asking = _asking(queries)
-    matches = N.knn(queries, _vectors(spark, d), 3 * K)
+    asking = _asking(_queries(spark, d))
+    matches = search.hybrid_search(
+        asking, V.assets_flat(spark, d), _vectors(spark, d), 3 * K)
     replies = asking.select("query_id", F.lit("I pick [2, 0, 99, 2].").alias("reply"))
     drafts = asking.select("query_id", F.concat(
         F.lit("draft_"), F.col("query_id").cast("string")).alias("name"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stacklore.operators.catalogue import KEY
 from stacklore.plans import views as V
+from stacklore.plans.catalogue_queries import REPLAY_SQL
 from stacklore.plans.registry import query
 from stacklore.plans.sql_views import stamp, with_views
 from stacklore.session import scratch_dir
@@ -33,7 +34,7 @@ def stream_save_ingest(spark, d):
         *KEY, "seq", "code_hash", "verification_status", "version")
 
 
-@query("stream_replay")
+@query("stream_replay", REPLAY_SQL)
 def stream_replay(spark, d):
     path = scratch_dir(spark, "replay")
     saves = V.save_requests(_stream(spark, d, "documents")).select(

@@ -347,17 +347,17 @@ def rerank_prompts(spark, d):
 
 
 @query("draft_context", with_views("""
-    SELECT u.user_id AS query_id, coalesce(c.context, 'No existing patterns found in the vault.')
+    SELECT c_custkey AS query_id, coalesce(c.context, 'No existing patterns found in the vault.')
              AS context
-    FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (
+    FROM customer LEFT JOIN (
       SELECT query_id, string_agg('NAME: ' || name || chr(10) || 'DESC: ' || description || chr(10)
         || 'CODE:' || chr(10) || code || chr(10), chr(10) || '---' || chr(10) ORDER BY position)
-        AS context FROM cand WHERE position < 3 AND query_id % 4 <> 0 GROUP BY query_id) c
-    ON u.user_id = c.query_id""", "cand"))
+        AS context FROM cand WHERE position < 3 GROUP BY query_id) c
+    ON c_custkey = c.query_id""", "cand"))
 def draft_context(spark, d):
-    """Every fourth query found nothing."""
-    found = V.candidates(spark, d).where("query_id % 4 <> 0")
-    return ranking.draft_context(V.candidate_queries(spark, d), found)
+    """Customers ask; those without events find nothing."""
+    queries = V.table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
+    return ranking.draft_context(queries, V.candidates(spark, d))
 
 
 @query("status_markers", with_views("""
@@ -366,7 +366,7 @@ def draft_context(spark, d):
                   ELSE '[VERIFIED] ' || description END
            WHEN doc_id % 5 = 1 THEN description || chr(10) || '(Validation Failed: boom)'
            ELSE description || chr(10) || '(Validation Failed: boom)' END AS description
-    FROM assets_flat WHERE doc_id % 3 <> 0 OR NOT contains(code, '[AI-DRAFT]')""", *FLAT))
+    FROM assets_flat""", *FLAT))
 def status_markers(spark, d):
     """Even rows pass; odd rows fail, and some of them already say so."""
     noted = F.concat("description", F.lit("\n(Validation Failed: boom)"))
