@@ -73,10 +73,11 @@ def version_history(log: DataFrame, width=CHUNK) -> DataFrame:
 def current_state(log: DataFrame, width=CHUNK) -> DataFrame:
     """The last save of each key, with its version.
 
-    Versions come from the narrow columns. The wide row of the last save is
-    picked by a partial aggregate, so a hot key shrinks before the shuffle.
+    Versions come from the narrow columns, written once. The wide row of the last
+    save is picked by a partial aggregate, so a hot key shrinks before the shuffle.
     """
-    versions = version_history(log.select(*KEY, "seq", "code_hash"), width).groupBy(*KEY).agg(
+    narrow = cut_lineage(log.select(*KEY, "seq", "code_hash"), "log")
+    versions = version_history(narrow, width).groupBy(*KEY).agg(
         F.max("version").alias("version"))
     rest = [c for c in log.columns if c not in KEY]
     last = log.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "seq").alias("_row"))

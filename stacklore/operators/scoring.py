@@ -276,15 +276,20 @@ def undeclared_imports(imports: DataFrame, stdlib: DataFrame, declared: DataFram
     ``imports``: asset_id, module. ``stdlib`` is a fixed list and is broadcast;
     ``declared`` may be large and is left to the optimizer.
     """
-    rows = imports.distinct().withColumn("top", F.substring_index("module", ".", 1))
-    left = rows.join(F.broadcast(stdlib.select(F.col("module").alias("top"))), "top", "left_anti")
-    left = left.withColumn("package", F.replace(F.lower("top"), F.lit("_"), F.lit("-")))
+    top = F.substring_index("module", ".", 1)
+    package = F.replace(F.lower(top), F.lit("_"), F.lit("-"))
+    rows = imports.distinct().withColumn("top", top).withColumn("package", package)
+    known = [(F.broadcast(stdlib.select(F.col("module").alias("top"))), "top"),
+             (declared.select("package"), "package")]
     if local is not None:
-        left = left.join(local.select(F.col("module").alias("top")), "top", "left_anti")
-    missing = left.join(declared.select("package"), "package", "left_anti").groupBy(
-        "asset_id").agg(F.sort_array(F.collect_set("module")).alias("missing"))
-    return imports.select("asset_id").distinct().join(missing, "asset_id", "left").select(
-        "asset_id", F.coalesce("missing", F.array().cast("array<string>")).alias("missing")
+        known.append((local.select(F.col("module").alias("top")), "top"))
+    # Left joins keep assets without a missing module, so the imports are read once.
+    missing = F.lit(True)
+    for number, (names, key) in enumerate(known):
+        rows = rows.join(names.distinct().withColumn(f"_in{number}", F.lit(True)), key, "left")
+        missing = missing & F.col(f"_in{number}").isNull()
+    return rows.groupBy("asset_id").agg(
+        F.sort_array(F.collect_set(F.when(missing, F.col("module")))).alias("missing")
     ).withColumn("score", F.greatest(F.lit(0.0), 100.0 - F.size("missing") * 30.0))
 
 

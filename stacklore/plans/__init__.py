@@ -1,14 +1,12 @@
 """Registered queries over the test tables."""
 
-from importlib import import_module
-
+from stacklore.plans import (  # noqa: F401 - importing registers the queries
+    catalogue_queries,
+    scoring_queries,
+    search_queries,
+    stream_queries,
+    text_queries,
+)
 from stacklore.plans.registry import ORACLES, QUERIES
 
-for _module in ("catalogue_queries", "text_queries", "scoring_queries", "search_queries",
-                "stream_queries"):
-    try:
-        import_module(f"stacklore.plans.{_module}")
-    except ModuleNotFoundError as e:
-        if _module not in str(e): raise
-
 __all__ = ["ORACLES", "QUERIES"]

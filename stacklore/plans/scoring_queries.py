@@ -231,7 +231,7 @@ GATE = ("evaluations", "wide", "gated")
 
 
 def _wide(spark, d):
-    pivoted = S.pivot_evaluations(V.evaluations(spark, d))
+    pivoted = S.pivot_evaluations(V.evaluation_rows(spark, d))
     return V.gate_assets(spark, d).join(pivoted, "asset_id", "left")
 
 
@@ -288,7 +288,7 @@ def verdict(spark, d):
            max(e.score) FILTER (evaluator = 'runtime') AS runtime
     FROM gated g JOIN evaluations e ON e.asset_id = g.asset_id GROUP BY ALL""", *GATE))
 def verification_report(spark, d):
-    reports_ = S.verification_report(_gated(spark, d), V.evaluations(spark, d))
+    reports_ = S.verification_report(_gated(spark, d), V.evaluation_rows(spark, d))
     return reports_.select(
         "asset_id", F.round("score", 6).alias("score"), "stage", "reason",
         F.size("details").cast("long").alias("evaluators"),

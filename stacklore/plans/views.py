@@ -110,12 +110,10 @@ EVALUATOR_OF_LINE = ["structural", "deterministic", "runtime", "security_static"
                      "dependency_vouch", "ai_gate", "metrics_gate"]
 
 
-def evaluations(spark, sf_dir) -> DataFrame:
-    line = F.col("l_linenumber")
-    score = F.col("_quantity") * 2.0
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.max("l_quantity").alias("_quantity"))
-    return rows.select(
+def evaluation_rows(spark, sf_dir) -> DataFrame:
+    """Evaluations as they come, more than one per asset and evaluator."""
+    line, score = F.col("l_linenumber"), F.col("l_quantity") * 2.0
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("asset_id"),
         pick(EVALUATOR_OF_LINE, line - 1).alias("evaluator"),
         F.when((line <= 3) & (score < 10), 0.0).otherwise(score).alias("score"),
@@ -123,6 +121,13 @@ def evaluations(spark, sf_dir) -> DataFrame:
         F.lit(False).alias("is_system_error"))
 
 
+def evaluations(spark, sf_dir) -> DataFrame:
+    """The best evaluation of each asset by each evaluator."""
+    return evaluation_rows(spark, sf_dir).groupBy("asset_id", "evaluator").agg(
+        F.max("score").alias("score"), F.max("reason").alias("reason"),
+        F.max("is_system_error").alias("is_system_error"))
+
+
 def gate_assets(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("asset_id"),

@@ -7,7 +7,7 @@ per asset, ``projects/{project}/functions/{language}/{name}.{ext}`` and
 ``projects/{project}/metadata/{name}.json``; it is read here as well.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from stacklore import schemas
 from stacklore.functions.text import code_hash, extension
@@ -44,26 +44,32 @@ def _by_folder(rows: DataFrame):
 
 def mirror_read(spark, path) -> DataFrame:
     """Read the bulk layout back; code of the code table wins over metadata."""
-    meta = spark.read.schema(schemas.MIRROR_METADATA).json(f"{path}/metadata").withColumn(
-        "project", F.coalesce("project", F.url_decode(F.regexp_extract(
-            "_metadata.file_path", r"folder=([^/]+)/", 1))))
+    # The folder is read as text: a project called 007 keeps its name.
+    fields = T.StructType([*schemas.MIRROR_METADATA, T.StructField("folder", T.StringType())])
+    meta = spark.read.schema(fields).json(f"{path}/metadata").withColumn(
+        "project", F.coalesce("project", "folder")).drop("folder")
     code = spark.read.parquet(f"{path}/code").select(*KEY, "language", "code")
     return mirror_join(meta, code)
 
 
+def _file_path():
+    """Path of the file of a row; a plus sign in it is no space."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def mirror_read_tree(spark, path) -> DataFrame:
     """Read the tree layout of every project."""
     meta = (
         spark.read.schema(schemas.MIRROR_METADATA).option("multiLine", True)
         .json(f"{path}/projects/*/metadata/*.json")
-        .withColumn("_path", F.url_decode("_metadata.file_path"))
+        .withColumn("_path", _file_path())
         .withColumn("project", F.coalesce("project", F.regexp_extract(
             "_path", r"projects/([^/]+)/metadata/", 1)))
         .where("name is not null").drop("_path")
     )
     # Read as bytes: the text reader drops the last line end.
     files = spark.read.format("binaryFile").load(f"{path}/projects/*/functions/*/*").withColumn(
-        "_path", F.url_decode("_metadata.file_path"))
+        "_path", _file_path())
     code = files.select(
         F.regexp_extract("_path", _PATH, 1).alias("project"),
         F.regexp_extract("_path", _PATH, 3).alias("name"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stacklore.operators.catalogue import HASH, KEY, current_state, verdict_merge
 from stacklore.operators.replay import ACCEPTED, replay_saves
+from stacklore.session import cut_lineage
 
 
 def _append(path):
@@ -58,34 +59,36 @@ def ingested_catalogue(spark, path) -> DataFrame:
 
 # ---- saves: exact replay -------------------------------------------------------
 
+HELD = "project string, name string, code_hash string, seq long"
+
+
 def ingest_replay(saves: DataFrame, path, trigger=None):
     """Exact sequential admission, micro-batch by micro-batch.
 
-    Files must arrive in seq order. Earlier batches enter as what they left:
-    the hash that each name holds, as saves that are known to be accepted.
+    Files must arrive in seq order. A batch starts from the hash that each name held
+    after the batch before, as saves that are known to be accepted, and leaves
+    the same table for the next one.
     """
-    spark = saves.sparkSession
-
     def admit(batch, batch_id):
-        batch = batch.select("project", "name", "code_hash", "seq")
-        held = _holders(spark, path, batch_id)
-        log = batch if held is None else held.unionByName(batch)
-        decided = replay_saves(log)
-        decided.join(batch.select("seq"), "seq", "left_semi").write.mode("overwrite").parquet(
+        log = batch.select("project", "name", "code_hash", "seq")
+        if batch_id > 0:
+            log = log.unionByName(log.sparkSession.read.schema(HELD).parquet(
+                f"{path}/held/batch={batch_id - 1}").withColumn("_held", F.lit(True)),
+                allowMissingColumns=True)
+        else:
+            log = log.withColumn("_held", F.lit(None).cast("boolean"))
+        log = cut_lineage(log, "batch")
+        decided = replay_saves(log.drop("_held"))
+        decided.where(F.col("status") == ACCEPTED).groupBy(*KEY).agg(
+            F.max_by(F.struct("code_hash", "seq"), "seq").alias("h")
+        ).select(*KEY, "h.*").write.mode("overwrite").parquet(f"{path}/held/batch={batch_id}")
+        arrived = log.where("_held is null").select("seq")
+        decided.join(arrived, "seq", "left_semi").write.mode("overwrite").parquet(
             f"{path}/rows/batch={batch_id}")
 
     return _start(saves, None, admit, f"{path}/checkpoint", trigger)
 
 
-def _holders(spark, path, batch_id):
-    if batch_id == 0:
-        return None
-    done = spark.read.parquet(f"{path}/rows").where(
-        (F.col("batch") < batch_id) & (F.col("status") == ACCEPTED))
-    return done.groupBy(*KEY).agg(F.max_by(F.struct("code_hash", "seq"), "seq").alias("h")).select(
-        *KEY, "h.*")
-
-
 def replayed_saves(spark, path) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("batch")
 

@@ -22,12 +22,15 @@ def test_tree_layout_and_old_metadata(spark, tmp_path):
         {"name": "f", "code": "old", "tags": ["a", "b"], "code_hash": "stale"}, indent=4))
     (code / "f.py").write_text("new\n")
     (code / "f.txt").write_text("not this one")
+    (meta / "c++.json").write_text('{"name": "c++", "code": "x"}')
+    (code / "c++.py").write_text("plus")
     (meta / "g.json").write_text(json.dumps(
         {"name": "g", "project": "other", "language": "rust", "code": "fn", "tags": "[\"x\"]",
          "dependencies": None}))
     (meta / "broken.json").write_text("{")
     rows = {r["name"]: r for r in mirror.mirror_read_tree(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"f", "g"}
+    assert set(rows) == {"f", "g", "c++"}
+    assert rows["c++"]["code"] == "plus"
     f, g = rows["f"], rows["g"]
     assert (f["project"], f["code"], f["tags"], f["language"]) == ("p a", "new\n", ["a", "b"], "python")
     assert f["code_hash"] != "stale" and f["code_from_file"]
@@ -38,18 +41,19 @@ def test_export_edit_import_is_a_new_version_and_then_the_same(spark, tmp_path):
     from stacklore.functions.text import code_hash
 
     live = spark.createDataFrame([("p", "f", "a = 1", "d", "python", ["t"]),
-                                  ("q", "f", "b = 1", "d", "python", [])], ASSET)
+                                  ("007", "f", "b = 1", "d", "python", [])], ASSET)
     edited = live.withColumn("code", F.when(F.col("project") == "p", "a = 2").otherwise(
         F.col("code")))
-    mirror.write_metadata(live, str(tmp_path))
+    mirror.write_metadata(live.withColumn("folder", F.col("project")).withColumn(
+        "project", F.lit(None).cast("string")), str(tmp_path))
     mirror.write_code(edited, str(tmp_path))
     back = mirror.mirror_read(spark, str(tmp_path))
     hashed = live.withColumn("code_hash", code_hash("code"))
     diff = C.catalogue_mirror_diff(hashed, back)
-    assert {(r["project"], r["state"]) for r in diff.collect()} == {("p", "changed"), ("q", "same")}
+    assert {(r["project"], r["state"]) for r in diff.collect()} == {("p", "changed"), ("007", "same")}
     catalogue = hashed.select("project", "name", "code", "code_hash", F.lit(1).alias("version"))
     current, _ = C.merge_upsert(catalogue, back.select("project", "name", "code", "code_hash"))
-    assert {(r["project"], r["version"]) for r in current.collect()} == {("p", 2), ("q", 1)}
+    assert {(r["project"], r["version"]) for r in current.collect()} == {("p", 2), ("007", 1)}
     assert C.catalogue_mirror_diff(current, back).where("state <> 'same'").count() == 0
 
 
