@@ -134,8 +134,13 @@ def code_scores(assets: DataFrame, declared=None) -> DataFrame:
 # ---- gate -----------------------------------------------------------------------
 
 def pivot_evaluations(evaluations: DataFrame) -> DataFrame:
-    """One column per evaluator; the fixed list saves a job that looks for names."""
-    return evaluations.groupBy("asset_id").pivot("evaluator", K.EVALUATORS).agg(F.max("score"))
+    """One column per evaluator, the best score of each.
+
+    One conditional aggregate per name of the fixed list: a single shuffle, where
+    ``pivot`` would first group by asset and evaluator.
+    """
+    return evaluations.groupBy("asset_id").agg(*[
+        F.max(F.when(F.col("evaluator") == e, F.col("score"))).alias(e) for e in K.EVALUATORS])
 
 
 def static_average(language="language"):

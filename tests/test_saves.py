@@ -49,6 +49,15 @@ def test_replay_equals_one_by_one(spark, seed, names, hashes, width):
     assert statuses(decided) == brute_replay(rows)
 
 
+def test_replay_follows_a_long_chain_and_a_hot_hash(spark):
+    chain = [row for i in range(60) for row in ((f"n{i}", "H"), (f"n{i}", f"u{i}"))]
+    hot = [(f"m{i}", "HOT") for i in range(200)] + [("m0", "free"), ("m7", "HOT"), ("m8", "HOT")]
+    rows = [("p", n, h, i) for i, (n, h) in enumerate(chain + hot)]
+    decided = statuses(replay_saves(spark.createDataFrame(rows, LOG), width=16))
+    assert decided == brute_replay(rows)
+    assert sum(s == "accepted" for s in decided.values()) == 120 + 3
+
+
 @pytest.mark.parametrize("width", [1, 3, 10, 1000])
 def test_scans_do_not_depend_on_the_chunk_width(spark, width):
     draw = random.Random(width)
