@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from stacklore.functions.text import code_hash
 from stacklore.session import cut_lineage
 
-START = 1704067200  # 2024-01-01 00:00:00 UTC
+START = "2024-01-01 00:00:00"
 SEARCH_WORDS = ["ther", "tion", "with", "elle", "der", "que", "and", "para"]
 SYSTEMS = ["ubuntu-latest", "windows-latest", "macos-latest"]
 PYTHONS = ["3.9", "3.10", "3.11", "3.12"]
@@ -22,7 +22,7 @@ def pick(values, index):
 
 
 def minutes_after(count):
-    return F.timestamp_seconds(F.lit(START) + count * 60)
+    return F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + count * 60)
 
 
 def _tags():
