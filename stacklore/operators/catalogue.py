@@ -23,7 +23,7 @@ def get_by_name(catalogue: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def get_by_hash(catalogue: DataFrame, hashes: DataFrame) -> DataFrame:
-    return catalogue.join(hashes.select(*HASH), HASH, "left_semi")
+    return catalogue.join(hashes.select(*HASH).distinct(), HASH, "left_semi")
 
 
 def has_all_tags(tags, wanted):
@@ -192,7 +192,7 @@ def latest_per_key(log: DataFrame) -> DataFrame:
 
 def delete_and_archive(catalogue: DataFrame, keys: DataFrame, stamp):
     """Returns ``(live, archived)``; removed rows carry the archive stamp."""
-    keys = keys.select(*KEY)
+    keys = keys.select(*KEY).distinct()
     live = catalogue.join(keys, KEY, "left_anti")
     archived = catalogue.join(keys, KEY, "left_semi").withColumn(
         "archived_at", F.lit(stamp).cast("timestamp"))
