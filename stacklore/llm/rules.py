@@ -11,9 +11,11 @@ ties stay as they are. A null ``doc_id`` is kept as null. Other columns of the i
 are ignored, whatever their names. An empty table gives an empty ledger.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from stacklore.llm.common import SPACE, typed, words
+from stacklore.llm.common import typed, words
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
@@ -45,13 +47,9 @@ def _without(text, pattern):
     return F.char_length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
-def _windows(w):
-    """The 3-word windows of the words in column ``w``; three words cannot repeat one."""
-    n = F.size(w)
-    return F.when(n >= 4, F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
-        lambda i: F.concat_ws(" ", F.slice(w, i, 3)))).otherwise(
-        F.array().cast("array<string>"))
+def _same_words(w, i, j):
+    """Whether the 3-word windows at two places of ``w`` hold the same words."""
+    return reduce(lambda x, y: x & y, [F.get(w, i + k) == F.get(w, j + k) for k in range(3)])
 
 
 def measures(docs) -> DataFrame:
@@ -60,16 +58,23 @@ def measures(docs) -> DataFrame:
         "text", F.coalesce("text", F.lit(""))).withColumn("_w", words(F.col("text")))
     split = split.withColumn("_lines", F.filter(
         F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    split = split.withColumn("_win", _windows("_w"))
-    split = split.withColumn("_some", F.size("_win") > F.size(F.array_distinct("_win")))
-    # Only texts that repeat a window sort them, with their places: equal ones lie side
-    # by side, and each of their places covers the words up to the next, three at most.
-    split = split.withColumn("_sorted", F.when(F.col("_some"), F.array_sort(
-        F.transform("_win", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
-    split = split.withColumn("_keys", F.col("_sorted.x")).withColumn(
-        "_at", F.array_sort(F.filter(F.transform("_sorted", lambda s, k: F.when(
-            (s["x"] == F.get("_keys", k - 1)) | (s["x"] == F.get("_keys", k + 1)),
-            s["i"])), lambda i: i.isNotNull())))
+    # 3-word windows by hash. Only texts that repeat a hash sort them with their places:
+    # equal windows lie side by side, and their words are compared.
+    split = split.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
+    split = split.withColumn("_x", F.transform(
+        F.slice("_h", 1, F.greatest(F.size("_h") - 2, F.lit(0))),
+        lambda x, i: F.xxhash64(x, F.get("_h", i + 1), F.get("_h", i + 2))))
+    split = split.withColumn("_sorted", F.when(
+        F.size("_x") > F.size(F.array_distinct("_x")), F.array_sort(
+            F.transform("_x", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+    pairs = F.filter(
+        F.zip_with("_sorted", F.slice("_sorted", 2, F.greatest(F.size("_sorted"), F.lit(1))),
+                   lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"]))),
+        lambda pair: pair.isNotNull())
+    split = split.withColumn("_pairs", pairs)
+    split = split.withColumn("_at", F.array_sort(F.array_distinct(F.flatten(F.filter(
+        "_pairs", lambda p: _same_words("_w", F.get(p, 0), F.get(p, 1)))))))
+    # Each place covers the words up to the next one, three at most.
     covered = F.aggregate(
         F.zip_with("_at", F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))),
                    lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)).cast("long")),
@@ -77,7 +82,7 @@ def measures(docs) -> DataFrame:
     return split.select(
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
-        _without("text", SPACE).alias("word_chars"),
+        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.char_length("text") - _without("text", SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
