@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from stacklore.llm import rules
-from stacklore.llm.common import table
+from stacklore.llm import language, quality, rules, toxicity
+from stacklore.llm.common import held_out, table
 
 QUERIES = {}
 ORACLES = {}
@@ -58,3 +58,20 @@ FROM b"""
 @query("op5_rule_ledger", RULES_SQL)
 def op5_rule_ledger(spark, sf_dir):
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), "web-1")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                             lambda c: held_out(c, 5, 0))
+
+
+@query("op2_language_id")
+def op2_language_id(spark, sf_dir):
+    return language.language(table(spark, sf_dir, "documents"), lambda c: held_out(c, 5, 0))
+
+
+@query("op3_quality")
+def op3_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                           lambda c: held_out(c, 3, 1))
