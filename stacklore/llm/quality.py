@@ -40,8 +40,9 @@ def _vectors(texts):
         two, rows2 = tokens.joined(one, rows, 2)
         # One sort by (row, feature) counts the features of all texts of the piece.
         pair, times = np.unique(_keyed(two, rows2), return_counts=True)
-        again = times >= OFTEN
-        again = ((pair[again] >> BITS) << BITS) | np.log2(times[again]).astype(np.int64)
+        often = times >= OFTEN
+        again = np.repeat(((pair[often] >> BITS) << BITS)
+                          | np.log2(times[often]).astype(np.int64), times[often])
         both, counts = np.unique(np.concatenate([_keyed(one, rows), again]), return_counts=True)
         both, counts = np.concatenate([both, pair]), np.concatenate([counts, times])
         order = np.argsort(both, kind="stable")
