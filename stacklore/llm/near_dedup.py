@@ -8,12 +8,13 @@ candidates; the joint likelihood of equal, larger and smaller registers estimate
 similarity, and only pairs far below the threshold are dropped by it (five standard
 errors). The rest is decided on the full sets of words.
 
-Exact copies collapse first. Within a bucket, documents are compared with leaders, not
-with one another: after each round the links join components, and a bucket is done when
-all members that never led are in one component, because every other pair has been
-compared or is connected anyway. A round sends at most LEADERS pairs per member, and
-rounds go on until every bucket is done, so no link within a bucket is lost. Two texts at
-the threshold meet in a bucket but for a chance of 4e-7.
+Exact copies collapse first. Within a bucket every document meets the first one, and the
+links found join components. Buckets of up to SMALL documents that are not one component
+by then compare the rest directly. In larger ones, members of the smallest components lead
+and meet the whole bucket in blocks (``_block_links``), round by round, until all that
+never led are one component: any other pair has been compared or is connected anyway. So no
+link within a bucket is lost, and no group emits its pairs. Two texts at the threshold
+meet in a bucket but for a chance of 4e-7.
 
 Cases: null and empty texts have no shingle, n_shingles 0, and are a component of their
 own; one or two words are one shingle. Repeated rows stay as rows; rows that share an id
@@ -37,7 +38,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 BANDS, BAND_ROWS = 25, 5
 THRESHOLD = 85
 SLACK = 0.16
-LEADERS = 48
+SMALL = 32
+LEADERS, LEADER_CHUNK, MEMBER_CHUNK = 256, 64, 256
 _WORDS = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, REGISTERS + 1, dtype=np.uint64) * _WORDS
 
@@ -233,17 +235,79 @@ def _verified(pairs, docs, threshold, shingle):
         "a", "b", "text", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _leaders(members, first):
-    """Who is compared with the whole bucket in this round: (key, lead, lead_label)."""
-    if first:
-        return members.groupBy("key").agg(F.min("node").alias("lead")).withColumn(
-            "lead_label", F.col("lead"))
-    # One member of each of the smallest components of the bucket.
+def _block_links(members, leaders, nodes, docs, threshold, shingle):
+    """Links (a, b) between ``leaders`` and all members of their buckets, block by block.
+
+    Members and leaders of a bucket are cut into chunks by hash, and a group holds one
+    chunk of each: at most about LEADER_CHUNK + MEMBER_CHUNK texts. A pair is compared
+    only under the first of the bands that both share, and gives a row only if linked.
+    """
+    texts = typed(docs, "doc_id", "text").withColumnRenamed("doc_id", "node").join(
+        nodes.select("node", "n_shingles", "registers", "bands"), "node")
+    marked = members.join(leaders.withColumn("leads", F.lit(True)), "node", "left").withColumn(
+        "leads", F.coalesce("leads", F.lit(False)))
+    marked = cut_lineage(marked, "near-marked")
+    sizes = cut_lineage(marked.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.ceil(F.count("*") / MEMBER_CHUNK).alias("m_chunks"),
+        F.ceil(F.count_if("leads") / LEADER_CHUNK).alias("l_chunks")).filter(
+        "l_chunks > 0"), "near-chunks")
+    about = join_hot(marked, sizes, "key").withColumn("h", F.xxhash64("node"))
+    own = about.select("key", "node", "label", F.lit(False).alias("leads"),
+                       F.pmod("h", "m_chunks").alias("m"),
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.col("l_chunks") - 1)).alias("l"))
+    led = about.filter("leads").select(
+        "key", "node", "label", "leads",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_chunks") - 1)).alias("m"),
+        F.pmod("h", "l_chunks").alias("l"))
+    rows = own.unionByName(led).join(texts, "node")
+
+    def compare(block):
+        import pyarrow as pa
+
+        node = block.column("node").to_numpy()
+        label = block.column("label").to_numpy()
+        size = block.column("n_shingles").to_numpy().astype(float)
+        text = block.column("text").to_pylist()
+        key = block.column("key")[0].as_py()
+        regs = np.frombuffer(b"".join(block.column("registers").to_pylist()),
+                             np.uint16).reshape(len(node), -1)
+        bands = np.array(block.column("bands").to_pylist(), np.int64)
+        leads = block.column("leads").to_numpy(zero_copy_only=False)
+        sets, found = {}, []
+        others = np.flatnonzero(~leads)
+
+        def set_of(k):
+            if k not in sets:
+                sets[k] = _set_of(text[k], shingle)
+            return sets[k]
+
+        for k in np.flatnonzero(leads):
+            same = bands[others] == bands[k]
+            first = bands[k][same.argmax(1)] == key
+            near = others[first & (label[others] != label[k])]
+            if not near.size:
+                continue
+            j = likely_similarity(np.broadcast_to(regs[k], (near.size, REGISTERS)), regs[near],
+                                  np.full(near.size, size[k]), size[near])
+            for o in near[j >= threshold / 100 - SLACK]:
+                mine, theirs = set_of(k), set_of(o)
+                both = len(mine & theirs)
+                if 100 * both >= threshold * (len(mine) + len(theirs) - both) > 0:
+                    found.append((node[k], node[o]))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()),
+                         "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return rows.groupBy("key", "m", "l").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _next_leaders(members):
+    """One member of each of the LEADERS smallest components of every bucket."""
     groups = members.groupBy("key", "label").agg(
-        F.count("*").alias("_n"), F.min("node").alias("lead"))
-    smallest = Window.partitionBy("key").orderBy("_n", "lead")
+        F.count("*").alias("_n"), F.min("node").alias("node"))
+    smallest = Window.partitionBy("key").orderBy("_n", "node")
     return groups.withColumn("_rank", F.row_number().over(smallest)).filter(
-        F.col("_rank") <= LEADERS).select("key", "lead", F.col("label").alias("lead_label"))
+        F.col("_rank") <= LEADERS).select("node").distinct()
 
 
 def near_duplicates(docs, threshold=THRESHOLD, shingle=SHINGLE) -> DataFrame:
@@ -278,40 +342,51 @@ def near_duplicates(docs, threshold=THRESHOLD, shingle=SHINGLE) -> DataFrame:
 def _all_links(nodes, docs, threshold, shingle):
     """Verified links (a, b) that join all that any bucket could join, and their components."""
     members = nodes.select("node", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut_lineage(shared, "near-buckets")
-    members = cut_lineage(join_hot(cut_lineage(members, "near-bands"), shared, "key").withColumn(
-        "label", F.col("node")), "near-members")
-    links, first = None, True
+    shared = cut_lineage(members.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1"), "near-buckets")
+    members = cut_lineage(join_hot(cut_lineage(members, "near-bands"), shared, "key"),
+                          "near-members")
+
+    def check(pairs):
+        likely = cut_lineage(_plausible(cut_lineage(pairs.distinct(), "near-pairs"), nodes,
+                                        threshold), "near-likely")
+        return _verified(likely, docs, threshold, shingle)
+
+    def still_open(rows, labels):
+        """Members of the buckets that hold more than one component, with labels and sizes."""
+        rows = cut_lineage(rows.join(labels, "node", "left").select(
+            "key", "node", F.coalesce("label", "node").alias("label")), "near-rest")
+        open_ = cut_lineage(rows.groupBy("key").agg(
+            F.count("*").alias("n"), F.min("label").alias("_low"),
+            F.max("label").alias("_high")).filter("_low < _high").select(
+            "key", "n", F.col("n").alias("size")), "near-open")
+        return cut_lineage(join_hot(rows, open_, "key"), "near-members")
+
+    # First every member meets the first of its bucket.
+    links = cut_lineage(check(members.filter("node <> lead").select(
+        F.col("lead").alias("a"), F.col("node").alias("b"))), "near-links")
+    labels = components(links)
+    members = still_open(members.filter("node <> lead").select("key", "node"), labels)
+    # Then small buckets compare all their components at once, SMALL members at most.
+    small = members.filter(F.col("size") <= SMALL)
+    here, there = small.alias("x"), small.alias("y")
+    pairs = here.join(there, (F.col("x.key") == F.col("y.key"))
+                      & (F.col("x.node") < F.col("y.node"))
+                      & (F.col("x.label") != F.col("y.label"))).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    new = cut_lineage(check(pairs), "near-links")
+    if not new.isEmpty():
+        links = cut_lineage(links.unionByName(new), "near-all-links")
+        labels = components(links)
+    # Large ones send leaders, until what never led is one component.
+    members = still_open(members.filter(F.col("size") > SMALL).select("key", "node"), labels)
     while not members.isEmpty():
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-        leads = _leaders(members, first)
-        # One row per key: the leaders of a bucket, LEADERS at most.
-        leads = cut_lineage(leads.groupBy("key").agg(F.collect_list(
-            F.struct("lead", "lead_label")).alias("leads")).join(sizes, "key"), "near-leads")
-        met = join_hot(members, leads, "key").withColumn("lead", F.explode("leads"))
-        pairs = met.filter((F.col("node") != F.col("lead.lead"))
-                           & (F.col("label") != F.col("lead.lead_label"))).select(
-            F.col("lead.lead").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = cut_lineage(pairs, "near-pairs")
-        likely = cut_lineage(_plausible(pairs, nodes, threshold), "near-likely")
-        new = cut_lineage(_verified(likely, docs, threshold, shingle), "near-links")
-        if links is None:
-            links, labels = new, components(new)
-        elif not new.isEmpty():
+        leaders = cut_lineage(_next_leaders(members), "near-leaders")
+        new = cut_lineage(_block_links(members.select("key", "node", "label"), leaders, nodes,
+                                       docs, threshold, shingle), "near-links")
+        if not new.isEmpty():
             links = cut_lineage(links.unionByName(new), "near-all-links")
             labels = components(links)
-        rest = join_hot(members, leads, "key").filter(
-            ~F.exists("leads", lambda x: x["lead"] == F.col("node"))).select("key", "node")
-        rest = cut_lineage(rest.join(labels, "node", "left").select(
-            "key", "node", F.coalesce("label", "node").alias("label")), "near-rest")
-        open_ = rest.groupBy("key").agg(
-            F.count("*").alias("n"), F.min("label").alias("_low"), F.max("label").alias("_high"))
-        open_ = cut_lineage(open_.filter("_low < _high").select("key", "n"), "near-open")
-        members = cut_lineage(join_hot(rest, open_, "key"), "near-members")
-        first = False
-    if links is None:
-        spark = docs.sparkSession
-        return (spark.createDataFrame([], "a long, b long"),
-                spark.createDataFrame([], "node long, label long"))
+        members = still_open(members.select("key", "node").join(leaders, "node", "left_anti"),
+                             labels)
     return links, labels
