@@ -1,7 +1,21 @@
 """The queries of this subpackage and their SQL."""
 
-from stacklore.llm import language, near_dedup, quality, rules, toxicity
-from stacklore.llm.common import held_out, table
+from pyspark.sql import functions as F
+
+from stacklore.llm import (
+    decontamination,
+    language,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality,
+    rules,
+    sharding,
+    token_counts,
+    toxicity,
+)
+from stacklore.llm.common import held_out, join_hot, table
+from stacklore.session import cut_lineage, scratch_dir
 
 QUERIES = {}
 ORACLES = {}
@@ -105,3 +119,99 @@ FROM documents d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d
 @query("op9_near_dedup", NEAR_SQL)
 def op9_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    """Totals after three batches: all documents, texts without repeated lines, no copies.
+
+    The second batch revises documents that repeat a line, counted without the repeats;
+    the third deletes all but the first of documents with equal texts. The second is sent
+    twice, which changes nothing.
+    """
+    docs = table(spark, sf_dir, "documents")
+    store = scratch_dir(spark, "tokens")
+    token_counts.commit(store, "batch-1", token_counts.change(
+        "insert", token_counts.counted(docs)))
+    lines = docs.withColumn("_lines", F.split("text", "\n")).withColumn(
+        "_once", F.array_distinct("_lines")).filter(F.size("_once") < F.size("_lines"))
+    revised = token_counts.change("revise", token_counts.counted(
+        lines.withColumn("text", F.array_join("_once", "\n")).drop("_lines", "_once")))
+    token_counts.commit(store, "batch-2", revised)
+    token_counts.commit(store, "batch-2", revised)
+    keyed = cut_lineage(docs.select("doc_id", F.sha2("text", 256).alias("h")), "tokens-hashes")
+    firsts = cut_lineage(keyed.groupBy("h").agg(
+        F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "tokens-copies")
+    copies = join_hot(keyed, firsts, "h").filter("doc_id <> first").select("doc_id")
+    gone = copies.withColumn("tokenizer", F.explode(F.array(
+        *[F.lit(t) for t in token_counts.TOKENIZERS]))).select(
+        "doc_id", F.lit(None).cast("string").alias("source"),
+        F.lit(None).cast("string").alias("lang"), "tokenizer", F.lit(0).alias("n_tokens"))
+    token_counts.commit(store, "batch-3", token_counts.change("delete", gone))
+    return token_counts.totals(spark, store)
+
+
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x, len(ls) AS n FROM d),
+h AS (SELECT *, md5(coalesce(lag(md5(x)) OVER (PARTITION BY doc_id ORDER BY i), '') || md5(x)) AS r FROM l),
+e AS (SELECT *, CASE WHEN substr(r, 1, 1) <= '7' OR i = n THEN 1 ELSE 0 END AS ends FROM h),
+k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
+c AS (SELECT doc_id, k, count(*) AS m, string_agg(x, chr(10) ORDER BY i) AS chunk FROM k GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN m >= 2 THEN row_number() OVER (PARTITION BY m >= 2, chunk ORDER BY doc_id, k)
+        ELSE 1 END AS rn FROM c),
+t AS (SELECT doc_id, count(*) AS n_chunks, sum(m) AS n_lines, count(*) FILTER (rn > 1) AS n_removed,
+             coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (rn = 1), '') AS kept
+      FROM f GROUP BY doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_chunks, n_removed, length(kept)::BIGINT AS kept_chars,
+       md5(kept) AS kept_md5 FROM t
+UNION ALL SELECT doc_id, 0, 0, 0, NULL, NULL FROM documents WHERE text IS NULL"""
+
+
+@query("op6_line_dedup", LINES_SQL)
+def op6_line_dedup(spark, sf_dir):
+    done = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_chunks", "n_removed",
+                       F.char_length("text").cast("long").alias("kept_chars"),
+                       F.md5("text").alias("kept_md5"))
+
+
+@query("op7_sharding")
+def op7_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "benchmark"))
+
+
+MIX_SQL = rf"""
+WITH s AS (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE AS w,
+             2.0::DOUBLE * source_size AS cap FROM p),
+b AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER ()
+        - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ws
+      FROM w),
+v AS (SELECT first(rest / ws ORDER BY cap / w, source) FILTER (rest / ws * w <= cap) AS level FROM b),
+t AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM b, v),
+r AS (SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
+        CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS whole,
+        (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'none')), 1, 12))::BIGINT + 0.5::DOUBLE)
+          / 281474976710656.0::DOUBLE AS u
+      FROM s JOIN t ON t.source IS NOT DISTINCT FROM s.source),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u / (1 - u), doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM r)
+SELECT doc_id, source, size, source_size, target,
+       whole + CASE WHEN ahead + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END AS copies,
+       (whole + CASE WHEN ahead + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS taken
+FROM o"""
+
+
+@query("op10_mixing", MIX_SQL)
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
