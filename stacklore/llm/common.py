@@ -103,9 +103,9 @@ def union_all(frames):
     return reduce(DataFrame.unionByName, frames)
 
 
-def typed(docs, *columns):
+def typed(docs, *columns, also=()):
     """Only these columns, with the types of ``documents``; missing ones are null."""
     kinds = {"doc_id": T.LongType(), "n_chars": T.LongType()}
     return docs.select(*[
         (F.col(c) if c in docs.columns else F.lit(None)).cast(
-            kinds.get(c, T.StringType())).alias(c) for c in columns])
+            kinds.get(c, T.StringType())).alias(c) for c in columns], *also)

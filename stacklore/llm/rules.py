@@ -52,9 +52,13 @@ def _same_words(w, i, j):
     return reduce(lambda x, y: x & y, [F.get(w, i + k) == F.get(w, j + k) for k in range(3)])
 
 
-def measures(docs) -> DataFrame:
-    """One row per input row: doc_id and every measurement, each taken once."""
-    split = typed(docs, "doc_id", "text").withColumn(
+def measures(docs, keep=None) -> DataFrame:
+    """One row per input row: doc_id and every measurement, each taken once.
+
+    ``keep`` carries the whole input row along, as a struct of that name.
+    """
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(keep)] if keep else []
+    split = typed(docs, "doc_id", "text", also=carried).withColumn(
         "text", F.coalesce("text", F.lit(""))).withColumn("_w", words(F.col("text")))
     split = split.withColumn("_lines", F.filter(
         F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -80,7 +84,7 @@ def measures(docs) -> DataFrame:
                    lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)).cast("long")),
         F.lit(0).cast("long"), lambda s, x: s + x)
     return split.select(
-        "doc_id",
+        "doc_id", *([keep] if keep else []),
         F.size("_w").cast("long").alias("n_words"),
         F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.char_length("text") - _without("text", SYMBOLS)).cast("long").alias("n_symbols"),
@@ -91,13 +95,13 @@ def measures(docs) -> DataFrame:
         (F.char_length("text") - _without("text", r"\p{L}+")).cast("long").alias("n_letters"))
 
 
-def ledger(docs) -> DataFrame:
+def ledger(docs, keep=None) -> DataFrame:
     """Measurements and ``fail_bits``, bit k for rule k of RULES."""
     bits = F.lit(0).cast("long")
     for name, condition in RULES:
         bits = bits.bitwiseOR(
             F.when(F.expr(condition), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
-    return measures(docs).withColumn("fail_bits", bits)
+    return measures(docs, keep).withColumn("fail_bits", bits)
 
 
 def apply_policy(entries, version="web-1") -> DataFrame:
@@ -109,6 +113,11 @@ def apply_policy(entries, version="web-1") -> DataFrame:
         "policy": F.lit(version)})
 
 
+def passed(docs, version="web-1") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, unchanged."""
+    return apply_policy(ledger(docs, "_row"), version).filter("kept").select("_row.*")
+
+
 def ablation(entries, version="web-1") -> DataFrame:
     """What each rule of a policy removes, and what it alone removes.
 
