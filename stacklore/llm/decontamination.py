@@ -7,8 +7,9 @@ compared one by one, and the best stretch (1 for an equal word, -MISS for anothe
 as contamination if it holds enough equal words: MIN_MATCH, or SHARE of a short item.
 Words are lower-cased and freed of signs first. DataFrame functions only.
 
-The seeds of the test items are broadcast up to BROADCAST_ROWS (16 bytes each); beyond
-that the same join shuffles both sides by seed.
+The seeds of the test items are broadcast up to BROADCAST_ROWS (24 bytes each); beyond
+that the same join shuffles both sides by seed. The ids of documents with a hit are sent
+to the texts under the same bound, so that other texts are not shuffled.
 
 Cases: null and empty texts have no words and no hits; items under SPAN words have no seed
 and are not searched. Rows and items without id are left out, as a hit could not name
@@ -86,6 +87,9 @@ def contaminated(docs, items) -> DataFrame:
         probes, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias(
             "diagonal")).distinct()
     hits = cut_lineage(hits, "leak-hits")
+    ids = cut_lineage(hits.select("doc_id").distinct(), "leak-ids")
+    if ids.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     found = texts.join(hits, "doc_id").join(
         tests.select("item_id", F.col("w").alias("item")), "item_id").withColumn(
         "w", plain_words(F.col("text"))).select(

@@ -115,7 +115,11 @@ def apply_policy(entries, version="web-1") -> DataFrame:
 
 def passed(docs, version="web-1") -> DataFrame:
     """The rows of ``docs`` that a policy keeps, unchanged."""
-    return apply_policy(ledger(docs, "_row"), version).filter("kept").select("_row.*")
+    # A one-element explode keeps the filter above the measurements; pushed below them it
+    # would measure every text twice.
+    judged = apply_policy(ledger(docs, "_row"), version).select(
+        F.explode(F.array(F.struct("kept", "_row"))).alias("_judged"))
+    return judged.filter("_judged.kept").select("_judged._row.*")
 
 
 def ablation(entries, version="web-1") -> DataFrame:
