@@ -73,7 +73,11 @@ def _best_stretch(doc, item, diagonal):
 
 
 def contaminated(docs, items) -> DataFrame:
-    """One row per document and item it holds: doc_id, item_id, n_matched, n_item_words."""
+    """One row per document and item it holds: doc_id, item_id, n_matched and the two lengths.
+
+    The length of the document is also what keeps its words from being split anew for every
+    word of the item: a column used once would be put in place where it is used.
+    """
     texts = typed(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
     tests = cut_lineage(items.select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
@@ -94,7 +98,9 @@ def contaminated(docs, items) -> DataFrame:
         tests.select("item_id", F.col("w").alias("item")), "item_id").withColumn(
         "w", plain_words(F.col("text"))).select(
         "doc_id", "item_id", F.size("item").cast("long").alias("n_item_words"),
+        F.size("w").cast("long").alias("n_doc_words"),
         _best_stretch(F.col("w"), F.col("item"), F.col("diagonal")).cast("long").alias("n"))
     enough = F.least(F.lit(float(MIN_MATCH)), F.lit(SHARE) * F.col("n_item_words"))
     return found.filter(F.col("n") >= enough).groupBy("doc_id", "item_id").agg(
-        F.max("n").alias("n_matched"), F.max("n_item_words").alias("n_item_words"))
+        F.max("n").alias("n_matched"), F.max("n_item_words").alias("n_item_words"),
+        F.max("n_doc_words").alias("n_doc_words"))
