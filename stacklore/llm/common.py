@@ -10,6 +10,7 @@ from stacklore.session import cut_lineage
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1000
+SENT_IDS = 2_000_000
 
 
 def table(spark, sf_dir, name) -> DataFrame:
@@ -44,6 +45,16 @@ def join_hot(many, one, keys, n="n", how="inner"):
                                                          allowMissingColumns=True)
 
 
+def only(rows, ids, key="doc_id"):
+    """The rows whose ``key`` is in ``ids``, a written table of distinct ids.
+
+    Up to SENT_IDS ids (8 bytes each) are sent to the rows, which then need no shuffle;
+    more of them are joined by key.
+    """
+    few = ids.count() <= SENT_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
 def ranked(df, part, order, total, per_window=20_000, name="rank"):
     """Gapless ranks from 0 within ``part``, without one window for a whole part.
 

@@ -8,8 +8,8 @@ as contamination if it holds enough equal words: MIN_MATCH, or SHARE of a short
 Words are lower-cased and freed of signs first. DataFrame functions only.
 
 The seeds of the test items are broadcast up to BROADCAST_ROWS (24 bytes each); beyond
-that the same join shuffles both sides by seed. The ids of documents with a hit are sent
-to the texts under the same bound, so that other texts are not shuffled.
+that the same join shuffles both sides by seed. Texts without a hit are left out before
+texts are shuffled (``only``).
 
 Cases: null and empty texts have no words and no hits; items under SPAN words have no seed
 and are not searched. Rows and items without id are left out, as a hit could not name
@@ -19,7 +19,7 @@ Other columns are ignored. Empty tables give an empty result.
 
 from pyspark.sql import DataFrame, functions as F
 
-from stacklore.llm.common import SPACE, typed
+from stacklore.llm.common import SPACE, only, typed
 from stacklore.session import cut_lineage
 
 SIGNS = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
@@ -92,9 +92,7 @@ def contaminated(docs, items) -> DataFrame:
             "diagonal")).distinct()
     hits = cut_lineage(hits, "leak-hits")
     ids = cut_lineage(hits.select("doc_id").distinct(), "leak-ids")
-    if ids.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    found = texts.join(hits, "doc_id").join(
+    found = only(texts, ids).join(hits, "doc_id").join(
         tests.select("item_id", F.col("w").alias("item")), "item_id").withColumn(
         "w", plain_words(F.col("text"))).select(
         "doc_id", "item_id", F.size("item").cast("long").alias("n_item_words"),

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stacklore.llm import tokens
-from stacklore.llm.common import components, join_hot, typed
+from stacklore.llm.common import components, join_hot, only, typed
 from stacklore.session import cut_lineage
 
 SHINGLE = 3
@@ -39,7 +39,7 @@ BANDS, BAND_ROWS = 25, 5
 THRESHOLD = 85
 SLACK = 0.16
 SMALL = 32
-LEADERS, LEADER_CHUNK, MEMBER_CHUNK = 256, 64, 256
+LEADERS, LEADER_CHUNK, MEMBER_CHUNK = 256, 256, 256
 _WORDS = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, REGISTERS + 1, dtype=np.uint64) * _WORDS
 
@@ -208,7 +208,9 @@ def _plausible(pairs, nodes, threshold):
 
 def _verified(pairs, docs, threshold, shingle):
     """Pairs (a, b) with 100 * intersection >= threshold * union on the full sets."""
-    texts = typed(docs, "doc_id", "text").filter(F.col("text").isNotNull())
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(),
+                      "near-ids")
+    texts = only(typed(docs, "doc_id", "text").filter(F.col("text").isNotNull()), ids)
     sides = cut_lineage(pairs.join(texts.select(
         F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"), "near-texts")
     leaders = cut_lineage(sides.groupBy("a").agg(F.count("*").alias("n")).join(
@@ -242,7 +244,8 @@ def _block_links(members, leaders, nodes, docs, threshold, shingle):
     chunk of each: at most about LEADER_CHUNK + MEMBER_CHUNK texts. A pair is compared
     only under the first of the bands that both share, and gives a row only if linked.
     """
-    texts = typed(docs, "doc_id", "text").withColumnRenamed("doc_id", "node").join(
+    ids = cut_lineage(members.select(F.col("node").alias("doc_id")).distinct(), "near-ids")
+    texts = only(typed(docs, "doc_id", "text"), ids).withColumnRenamed("doc_id", "node").join(
         nodes.select("node", "n_shingles", "registers", "bands"), "node")
     marked = members.join(leaders.withColumn("leads", F.lit(True)), "node", "left").withColumn(
         "leads", F.coalesce("leads", F.lit(False)))
