@@ -27,7 +27,7 @@ from stacklore.session import cut_lineage
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST = 1.5, 2.0
 SEED = "mix-1"
-PER_BUCKET = 20_000
+PER_BUCKET = 5_000
 
 
 def sized(docs) -> DataFrame:
