@@ -12,6 +12,17 @@ GATE_WEIGHTS = {
     "ai_gate": 0.15,
     "metrics_gate": 0.05,
 }
+# What a report says of the stage that decided; other stages speak through evaluators.
+STAGE_REASONS = {
+    "missing_tests": "Unverified: no test code",
+    "structural": "Critical failure: structure",
+    "security": "Security rejection",
+    "dependency": "Dependency rejection",
+    "deterministic": "Critical failure: deterministic checks",
+    "runtime": "Critical failure: runtime",
+    "no_evaluators": "No applicable evaluators succeeded",
+    "ai_veto": "Veto by the AI gate",
+}
 EVALUATORS = [
     "structural",
     "deterministic",
@@ -36,7 +47,6 @@ DRAFT_SIMILARITY = 0.4
 WEAK_MATCH_BELOW = 0.45
 RERANK_CANDIDATES = 15
 SNIPPET_CHARS = 500
-EMBED_CHARS = 7000
 DESCRIPTION_MIN_LENGTH = 10
 GENERATION_WORDS = ["create", "generate", "make", "implement", "write", "how to"]
 REVIEW_WORDS = ["accepted", "published", "proceedings", "conference", "journal"]

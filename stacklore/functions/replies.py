@@ -6,10 +6,38 @@ from stacklore import constants as K
 from stacklore.functions.text import col
 
 
+def whole_json(text) -> Column:
+    """The text when all of it is one JSON value, else null.
+
+    The parser stops after the first value, so the text must also be the one element of
+    a list and the one value of an object: what follows a value breaks one of the two.
+    """
+    def whole(t):
+        listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        named = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        return (F.try_variant_get(listed, "$[0]", "variant").isNotNull()
+                & F.try_variant_get(listed, "$[1]", "variant").isNull() & named.isNotNull())
+
+    # A filter over a list of one evaluates the text once, however long its expression is.
+    return F.get(F.filter(F.array(col(text)), whole), 0)
+
+
 def response_json(reply) -> Column:
-    """The outermost ``{...}`` of a reply when it is valid JSON, else null."""
-    text = F.regexp_extract(col(reply), r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(text).isNotNull() & (text != ""), text)
+    """The JSON object of a reply, else null.
+
+    It is the outermost ``{...}``; failing that the reply, or its first fenced block, as
+    an object or a list that starts with one.
+    """
+    reply = col(reply)
+    braces = whole_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")))
+    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.+?)\s*```", 1)
+    return F.coalesce(braces, *[_first_object(whole_json(F.trim(x))) for x in (reply, fenced)])
+
+
+def _first_object(text) -> Column:
+    first = F.transform(F.array(text), lambda t: F.when(
+        F.ltrim(t).startswith("["), F.get_json_object(t, "$[0]")).otherwise(t))
+    return F.get(F.filter(first, lambda t: F.ltrim(t).startswith("{")), 0)
 
 
 def _is_number(kind) -> Column:

@@ -38,14 +38,10 @@ def search_document(name, description, tags, code) -> Column:
     )
 
 
-def embedding_input(document) -> Column:
-    return F.left(col(document), F.lit(K.EMBED_CHARS))
-
-
-def snippet(code) -> Column:
+def snippet(code, chars=K.SNIPPET_CHARS) -> Column:
     code = col(code)
-    cut = F.concat(F.left(code, F.lit(K.SNIPPET_CHARS)), F.lit("..."))
-    return F.when(F.length(code) > K.SNIPPET_CHARS, cut).otherwise(code)
+    cut = F.concat(F.left(code, F.lit(chars)), F.lit("..."))
+    return F.when(F.length(code) > chars, cut).otherwise(code)
 
 
 def extension(language) -> Column:

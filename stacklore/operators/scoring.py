@@ -95,16 +95,19 @@ def python_row_evaluator(name, judge):
 def code_scores(assets: DataFrame, declared=None) -> DataFrame:
     """Every score that follows from code and test text, one row per asset.
 
-    ``assets``: asset_id, code, test_code, language. Rows that are empty of
-    tests or badly nested are decided before any Python runs; the rest is parsed
-    once per text, and all scores are expressions in the same row.
+    ``assets``: asset_id, code, test_code, language and, optionally, is_draft. Rows that
+    are badly nested, or empty of tests and no draft, are decided before any Python runs;
+    the rest is parsed once per text, and all scores are expressions in the same row.
     """
     python = F.lower("language") == "python"
     prepared = assets.withColumn("structural", C.structural_score("code"))
-    survivors = (F.col("structural") > 0) & (F.length("test_code") > 0) & python
+    tested = F.length("test_code") > 0
+    # Only an asset that is no draft stops at missing tests; drafts are judged by their code.
+    draft = F.col("is_draft") if "is_draft" in assets.columns else F.lit(False)
+    parsed = (F.col("structural") > 0) & python & (tested | F.coalesce(draft, F.lit(False)))
     facts = prepared.withColumn(
-        "code_facts", P.code_facts(F.when(survivors, F.col("code")))
-    ).withColumn("test_facts", P.test_facts(F.when(survivors, F.col("test_code"))))
+        "code_facts", P.code_facts(F.when(parsed, F.col("code")))
+    ).withColumn("test_facts", P.test_facts(F.when(parsed & tested, F.col("test_code"))))
     code, test = F.col("code_facts"), F.col("test_facts")
     known = None if declared is None else F.array(
         *[F.lit(d) for d in declared]).cast("array<string>")
@@ -203,9 +206,10 @@ def verdict(score, is_system_error):
 
 
 def verification_report(gated: DataFrame, evaluations: DataFrame) -> DataFrame:
-    """Nested report per asset: score, stage, details per evaluator, joined reasons.
+    """Nested report of every gated asset: score, stage, details per evaluator, reasons.
 
-    An asset has at most one entry per evaluator, so the map stays small.
+    An asset has at most one entry per evaluator, so the map stays small; one that no
+    evaluator has seen has an empty map. The reason starts with what the stage says.
     """
     entry = F.struct("evaluator", F.struct("score", "reason", "is_system_error").alias("result"))
     each = evaluations.groupBy("asset_id", "evaluator").agg(
@@ -214,11 +218,31 @@ def verification_report(gated: DataFrame, evaluations: DataFrame) -> DataFrame:
     details = each.groupBy("asset_id").agg(
         F.array_sort(F.collect_list(entry)).alias("entries"),
         F.max("is_system_error").alias("is_system_error"))
-    return gated.select("asset_id", "score", "stage").join(details, "asset_id").select(
-        "asset_id", "score", "stage", "is_system_error",
+    rows = gated.select("asset_id", "score", "stage").join(details, "asset_id", "left")
+    empty = F.from_json(F.lit("[]"), rows.schema["entries"].dataType)
+    rows = rows.withColumn("entries", F.coalesce("entries", empty))
+    said = F.transform("entries", lambda e: F.concat(
+        e["evaluator"], F.lit(": "), e["result"]["reason"]))
+    stage = F.create_map(*[F.lit(x) for item in K.STAGE_REASONS.items() for x in item])[
+        F.col("stage")]
+    return rows.select(
+        "asset_id", "score", "stage",
+        F.coalesce("is_system_error", F.lit(False)).alias("is_system_error"),
         F.map_from_entries("entries").alias("details"),
-        F.array_join(F.transform("entries", lambda e: F.concat(
-            e["evaluator"], F.lit(": "), e["result"]["reason"])), " | ").alias("reason"))
+        F.array_join(F.concat(F.array_compact(F.array(stage)), said), " | ").alias("reason"))
+
+
+def weighted_gate(evaluations: DataFrame, assets: DataFrame) -> DataFrame:
+    """(asset_id, score): the weighted mean over all layers of a long table.
+
+    The static layer is the mean of security, dependency and the linter of the language;
+    it enters as a layer with its own weight. Assets without any layer have no row.
+    """
+    static = static_average().alias("static")
+    layers = pivot_evaluations(evaluations).join(
+        assets.select("asset_id", "language"), "asset_id").withColumn("static", static)
+    return layers.select("asset_id", weighted_mean(K.GATE_WEIGHTS).alias("score")).where(
+        "score IS NOT NULL")
 
 
 # ---- findings to scores -----------------------------------------------------------

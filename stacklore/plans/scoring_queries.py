@@ -246,16 +246,20 @@ def quality_gate(spark, d):
 
 
 @query("weighted_gate_sum", with_views("""
+    , layers AS (
+      SELECT asset_id, evaluator AS layer, score FROM evaluations
+      WHERE evaluator IN ('deterministic', 'runtime', 'ai_gate', 'metrics_gate')
+      UNION ALL
+      SELECT asset_id, 'static', avg(score) FROM evaluations
+      WHERE evaluator IN ('security_static', 'dependency_vouch') GROUP BY asset_id)
     SELECT asset_id, round(sum(score * w) / sum(w), 6) AS score
-    FROM evaluations JOIN (VALUES ('deterministic', 0.30::DOUBLE), ('runtime', 0.30),
-      ('ai_gate', 0.15), ('metrics_gate', 0.05)) v(evaluator, w) USING (evaluator)
+    FROM layers JOIN (VALUES ('deterministic', 0.30::DOUBLE), ('runtime', 0.30), ('static', 0.20),
+      ('ai_gate', 0.15), ('metrics_gate', 0.05)) v(layer, w) USING (layer)
     GROUP BY asset_id""", "evaluations"))
 def weighted_gate_sum(spark, d):
-    """The weighted mean as a join of the long table with its few weights."""
-    weights = spark.createDataFrame(list(K.GATE_WEIGHTS.items()), "evaluator string, w double")
-    rows = V.evaluations(spark, d).join(F.broadcast(weights), "evaluator")
-    return rows.groupBy("asset_id").agg(F.round(
-        F.sum(F.col("score") * F.col("w")) / F.sum("w"), 6).alias("score"))
+    """The weighted mean over all layers, the static one among them."""
+    return S.weighted_gate(V.evaluations(spark, d), V.gate_assets(spark, d)).select(
+        "asset_id", F.round("score", 6).alias("score"))
 
 
 @query("static_average", with_views("""
@@ -282,11 +286,17 @@ def verdict(spark, d):
                        F.round(reliability, 6).alias("reliability"))
 
 
-@query("verification_report", with_views("""
-    SELECT g.asset_id, round(g.score, 6) AS score, g.stage, count(*) AS evaluators,
-           string_agg(evaluator || ': ' || reason, ' | ' ORDER BY evaluator) AS reason,
+_STAGE_SAYS = "CASE stage " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in K.STAGE_REASONS.items()) + " END"
+
+
+@query("verification_report", with_views(f"""
+    SELECT g.asset_id, round(g.score, 6) AS score, g.stage, count(e.asset_id) AS evaluators,
+           concat_ws(' | ', any_value({_STAGE_SAYS}), nullif(string_agg(
+             evaluator || ': ' || reason, ' | ' ORDER BY evaluator), '')) AS reason,
            max(e.score) FILTER (evaluator = 'runtime') AS runtime
-    FROM gated g JOIN evaluations e ON e.asset_id = g.asset_id GROUP BY ALL""", *GATE))
+    FROM gated g LEFT JOIN evaluations e ON e.asset_id = g.asset_id
+    GROUP BY g.asset_id, g.score, g.stage""", *GATE))
 def verification_report(spark, d):
     reports_ = S.verification_report(_gated(spark, d), V.evaluation_rows(spark, d))
     return reports_.select(

@@ -153,8 +153,7 @@ VIEWS = {
         SELECT user_id AS query_id, n - 1 AS position, 'ev_' || event_id AS name,
                event_type AS description, props AS code
         FROM (SELECT *, row_number() OVER (
-                PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events)
-        WHERE n <= 20""",
+                PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events)""",
     "code_assets": f"""
         SELECT p_partkey AS asset_id, p_partkey % 16 AS t,
                {template([c for c, _ in V.CODE_TEMPLATES], 'p_partkey % 16', 'p_partkey')} AS code,

@@ -23,15 +23,14 @@ _DOCUMENT = """'LOGIC ASSET: ' || name || chr(10) || 'TECHNICAL SPECIFICATION:'
 
 
 @query("search_document", with_views(f"""
-    SELECT project, name, length(doc) AS chars, md5(doc) AS document_md5,
-           md5(left(doc, 7000)) AS input_md5
+    SELECT project, name, length(doc) AS chars, md5(doc) AS document_md5
     FROM (SELECT project, name, {_DOCUMENT} AS doc FROM assets_flat)""", *FLAT))
 def search_document(spark, d):
     rows = V.assets_flat(spark, d).select("project", "name", X.search_document(
         "name", "description", "tags", "code").alias("doc"))
     return rows.select(
         "project", "name", F.length("doc").cast("long").alias("chars"),
-        F.md5("doc").alias("document_md5"), F.md5(X.embedding_input("doc")).alias("input_md5"))
+        F.md5("doc").alias("document_md5"))
 
 
 @query("code_snippet", """
@@ -314,8 +313,9 @@ def tool_owner_join(spark, d):
     calls = _tool_calls(spark, d).select(
         "conv_id", "turn", F.explode(R.tool_calls("calls")).alias("c")).select(
         "conv_id", "turn", F.col("c.name").alias("tool"))
-    registry = V.table(spark, d, "region").where("r_regionkey < 2").select(
-        V.pick(["user_tool", "assistant_tool"], F.col("r_regionkey")).alias("tool"),
+    registry = V.table(spark, d, "region").select(
+        V.pick(["user_tool", "assistant_tool", "search_tool", "shell_tool", "editor_tool"],
+               F.col("r_regionkey")).alias("tool"),
         F.concat(F.lit("REGION"), F.col("r_regionkey").cast("string")).alias("owner"))
     return reports.tool_owners(calls, registry)
 
@@ -420,16 +420,30 @@ def hash_embedding(spark, d):
         "doc_id", X.hash_embedding_value("text").alias("value"))
 
 
-@query("text_embedding")
+@query("text_embedding", with_views(f"""
+    , docs AS (SELECT project, name, lower({_DOCUMENT}) AS doc FROM assets_flat),
+    words AS (SELECT project, name, unnest(regexp_extract_all(doc, '\\w+')) AS word FROM docs),
+    counts AS (SELECT project, name, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS term,
+                      count(*) AS n FROM words GROUP BY ALL),
+    weights AS (SELECT term, ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (count(*) + 1)) AS w
+                FROM counts GROUP BY term),
+    weighted AS (SELECT project, name, term, n * w AS v FROM counts JOIN weights USING (term))
+    SELECT project, name, 64 AS dimension, CASE WHEN sum(v * v) > 0 THEN 1 ELSE 0 END::DOUBLE AS norm,
+           round(sum((term + 1) * v) / nullif(sqrt(sum(v * v)), 0), 4) AS moment
+    FROM weighted GROUP BY project, name""", *FLAT))
 def text_embedding(spark, d):
     """Unit vectors of whole search documents; no outside service."""
     from stacklore.operators.embedding import text_embedding
 
     rows = V.assets_flat(spark, d).select("project", "name", X.search_document(
         "name", "description", "tags", "code").alias("document"))
-    return text_embedding(rows, "document", 64).select(
+    vectors = text_embedding(rows, ["project", "name"], F.col("document"), 64)
+    moment = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0),
+                         lambda a, x: a + x)
+    return vectors.select(
         "project", "name", F.size("embedding").alias("dimension"),
-        F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"),
+        F.round(moment, 4).alias("moment"))
 
 
 # ---- rankings ---------------------------------------------------------------------

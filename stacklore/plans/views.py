@@ -178,11 +178,10 @@ def version_tags(spark, sf_dir) -> DataFrame:
                  (F.col("p_partkey") % 7).cast("string")).alias("tag"))
 
 
-def candidates(spark, sf_dir, size=20) -> DataFrame:
-    """Best events of each user by value, as a ranked candidate list."""
+def candidates(spark, sf_dir) -> DataFrame:
+    """All events of each user by value, as a ranked candidate list."""
     order = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    rows = events(spark, sf_dir).withColumn("_n", F.row_number().over(order)).where(
-        F.col("_n") <= size)
+    rows = events(spark, sf_dir).withColumn("_n", F.row_number().over(order))
     return rows.select(
         F.col("user_id").alias("query_id"), (F.col("_n") - 1).alias("position"),
         F.concat(F.lit("ev_"), F.col("event_id").cast("string")).alias("name"),

@@ -46,7 +46,9 @@ def scratch_dir(spark, label="run"):
     """A new folder below the one that the cluster shares for checkpoints."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        # Only a session whose executors live in the driver may use a folder of this machine.
+        if not spark.sparkContext.master.startswith("local") or \
+                spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="run-")
         spark.sparkContext.setCheckpointDir(base)

@@ -9,6 +9,7 @@ per asset, ``projects/{project}/functions/{language}/{name}.{ext}`` and
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from stacklore.functions.replies import whole_json
 from stacklore import schemas
 from stacklore.functions.text import code_hash, extension
 from stacklore.operators.catalogue import KEY
@@ -113,8 +114,7 @@ def json_list(c):
 
 def json_decode(rows: DataFrame, column, kind="array<string>") -> DataFrame:
     """Decode a JSON text column; what cannot be read stays in ``{column}_raw``."""
-    parsed = F.when(
-        F.try_parse_json(column).isNotNull(), F.from_json(F.col(column), kind))
+    parsed = F.from_json(whole_json(F.col(column)), kind)
     failed = F.col("_parsed").isNull() & (F.length(column) > 0)
     return (
         rows.withColumn("_parsed", parsed)
