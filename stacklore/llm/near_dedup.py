@@ -325,7 +325,7 @@ def near_duplicates(docs, threshold=THRESHOLD, shingle=SHINGLE) -> DataFrame:
         "near-nodes")
     links, labels = _all_links(nodes, docs, threshold, shingle)
     named = join_hot(rows.select("doc_id", "n_shingles", "digest").filter("n_shingles > 0"),
-                     digests, "digest").select("doc_id", "n_shingles", "node")
+                     digests, "digest", how="left").select("doc_id", "n_shingles", "node")
     alone = rows.filter("n_shingles = 0").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     # Rows of one id with several texts belong together through that id.
