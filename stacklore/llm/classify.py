@@ -5,18 +5,27 @@ from pyspark.sql import Window, functions as F
 
 from stacklore.llm.common import typed
 
+PARTS = 64
+
 
 def sample_ids(labelled, label, per_class):
     """Up to ``per_class`` ids of each label, the smallest by hash: (doc_id, label, weight).
 
     ``weight`` is the rows of the class over the rows taken, so the sample still stands
-    for the class shares of all rows. Top rows are cut in each task before the shuffle.
+    for the class shares of all rows. No task ranks a whole class.
     """
     rows = labelled.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(
         "doc_id").agg(F.max(label).alias("label"))
-    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    taken = rows.withColumn("_rank", F.row_number().over(by_hash)).filter(
-        F.col("_rank") <= per_class)
+    # First within PARTS parts of a class, then among at most PARTS * per_class rows.
+    rows = rows.withColumn("_hash", F.xxhash64("doc_id")).withColumn(
+        "_part", F.pmod(F.xxhash64("_hash"), F.lit(PARTS)))
+
+    def smallest(taken, *keys):
+        order = Window.partitionBy(*keys).orderBy("_hash", "doc_id")
+        return taken.withColumn("_rank", F.row_number().over(order)).filter(
+            F.col("_rank") <= per_class)
+
+    taken = smallest(smallest(rows, "label", "_part"), "label")
     sizes = rows.groupBy("label").agg(F.count("*").alias("_n"))
     return taken.join(F.broadcast(sizes), "label").select(
         "doc_id", "label",
