@@ -73,15 +73,13 @@ def version_history(log: DataFrame, width=CHUNK) -> DataFrame:
 def current_state(log: DataFrame, width=CHUNK) -> DataFrame:
     """The last save of each key, with its version.
 
-    Versions come from the narrow columns, written once. The wide row of the last
-    save is picked by a partial aggregate, so a hot key shrinks before the shuffle.
+    Versions come from the narrow columns, written once, and so does the last save of a
+    key; only then are the wide rows touched.
     """
     narrow = cut_lineage(log.select(*KEY, "seq", "code_hash"), "log")
     versions = version_history(narrow, width).groupBy(*KEY).agg(
         F.max("version").alias("version"))
-    rest = [c for c in log.columns if c not in KEY]
-    last = log.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "seq").alias("_row"))
-    return last.join(versions, KEY).select(*KEY, "_row.*", "version")
+    return latest_per_key(log).join(versions, KEY).select(*log.columns, "version")
 
 
 def history_intervals(log: DataFrame, width=CHUNK) -> DataFrame:
@@ -143,20 +141,26 @@ def duplicate_groups(catalogue: DataFrame) -> DataFrame:
 
 
 def merge_upsert(catalogue: DataFrame, incoming: DataFrame):
-    """Merge saves (one per key) into the catalogue.
+    """Merge saves into the catalogue.
 
     Returns ``(current, history)``. A changed hash starts a new version and
     moves the old row to the history; an equal hash refreshes the metadata.
-    ``call_count`` and ``created_at`` survive every save.
+    ``call_count`` and ``created_at`` survive every save. Of several saves of a
+    key the last by ``seq`` counts, or any one of them without that column.
+
+    The keys that arrive are written first: rows of other keys pass by unchanged,
+    and only the rest of the catalogue meets the new rows.
     """
     fields = [c for c in catalogue.columns if c not in KEY]
-    old = catalogue.select(*KEY, F.struct(*fields).alias("old"))
+    one_each = "seq" in incoming.columns
+    incoming = latest_per_key(incoming) if one_each else incoming.dropDuplicates(KEY)
+    keys = cut_lineage(incoming.select(*KEY), "arriving")
+    old = catalogue.join(keys, KEY, "left_semi").select(*KEY, F.struct(*fields).alias("old"))
     new = incoming.select(
         *KEY, F.struct(*[c for c in incoming.columns if c not in KEY]).alias("new"))
-    both = old.join(new, KEY, "full").withColumn(
+    both = new.join(old, KEY, "left").withColumn(
         "action",
-        F.when(F.col("new").isNull(), "keep")
-        .when(F.col("old").isNull(), "insert")
+        F.when(F.col("old").isNull(), "insert")
         .when(F.col("old.code_hash").eqNullSafe(F.col("new.code_hash")), "refresh")
         .otherwise("new_version"),
     )
@@ -174,9 +178,11 @@ def merge_upsert(catalogue: DataFrame, incoming: DataFrame):
             return F.coalesce(old_value, new_value)
         if name not in arriving:
             return old_value
-        return F.when(F.col("action") == "keep", old_value).otherwise(new_value)
+        return new_value
 
-    current = both.select(*KEY, *[merged(c).alias(c) for c in fields], "action")
+    untouched = catalogue.join(keys, KEY, "left_anti").withColumn("action", F.lit("keep"))
+    current = both.select(*KEY, *[merged(c).alias(c) for c in fields], "action").unionByName(
+        untouched)
     stamp = F.col("new.updated_at") if "updated_at" in arriving else F.current_timestamp()
     history = both.where(F.col("action") == "new_version").select(
         *KEY, "old.*", stamp.alias("archived_at"))
@@ -184,10 +190,13 @@ def merge_upsert(catalogue: DataFrame, incoming: DataFrame):
 
 
 def latest_per_key(log: DataFrame) -> DataFrame:
-    """One save per key, the last one, without a window."""
-    rest = [c for c in log.columns if c not in KEY]
-    return log.groupBy(*KEY).agg(
-        F.max_by(F.struct(*rest), "seq").alias("_row")).select(*KEY, "_row.*")
+    """One save per key, the last one by ``seq``, which is unique within a key.
+
+    The last seq is a partial aggregate of narrow rows; texts are met once, by key and
+    seq, which no hot key can crowd.
+    """
+    last = log.groupBy(*KEY).agg(F.max("seq").alias("seq"))
+    return log.join(last, [*KEY, "seq"], "left_semi")
 
 
 def delete_and_archive(catalogue: DataFrame, keys: DataFrame, stamp):

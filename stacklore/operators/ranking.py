@@ -6,6 +6,7 @@ from stacklore import constants as K
 from stacklore.functions.replies import all_integers, ranking_ids
 from stacklore.functions.text import snippet
 from stacklore.operators.search import generation_intent
+from stacklore.session import cut_lineage
 
 
 def _places(replies, ids):
@@ -16,14 +17,15 @@ def _places(replies, ids):
     )
 
 
-def apply_ranking(candidates: DataFrame, replies: DataFrame, limit) -> DataFrame:
+def apply_ranking(candidates: DataFrame, replies: DataFrame, limit,
+                  first=K.RERANK_CANDIDATES) -> DataFrame:
     """Put the listed candidates first and keep the rest in order.
 
-    ``candidates`` holds query_id and position (from 0). Only the first 15 can
-    move; unknown and repeated positions are ignored.
+    ``candidates`` holds query_id and position (from 0). Only the first ``first``
+    can move; unknown and repeated positions are ignored.
     """
     places = _places(replies, ranking_ids("reply"))
-    moved = F.col("position") < K.RERANK_CANDIDATES
+    moved = F.col("position") < first
     joined = candidates.join(places, ["query_id", "position"], "left")
     order = Window.partitionBy("query_id").orderBy(
         F.when(~moved, 2).when(F.col("place").isNull(), 1).otherwise(0),
@@ -53,14 +55,15 @@ def select_by_indices(candidates: DataFrame, replies: DataFrame, limit) -> DataF
     return chosen.unionByName(plain)
 
 
-def rerank_prompts(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One prompt per query that lists its first 15 candidates in order."""
+def rerank_prompts(queries: DataFrame, candidates: DataFrame, first=K.RERANK_CANDIDATES,
+                   chars=K.SNIPPET_CHARS) -> DataFrame:
+    """One prompt per query that lists its ``first`` candidates, code cut to ``chars``."""
     block = F.concat(
         F.lit("ID: "), F.col("position").cast("string"), F.lit("\nNAME: "), F.col("name"),
         F.lit("\nDESC: "), F.col("description"),
-        F.lit("\nCODE:\n<DATA_ASSET>\n"), snippet("code"), F.lit("\n</DATA_ASSET>\n---"))
+        F.lit("\nCODE:\n<DATA_ASSET>\n"), snippet("code", chars), F.lit("\n</DATA_ASSET>\n---"))
     listed = (
-        candidates.where(F.col("position") < K.RERANK_CANDIDATES)
+        candidates.where(F.col("position") < first)
         .select("query_id", F.struct("position", block.alias("block")).alias("b"))
         .groupBy("query_id").agg(F.array_sort(F.collect_list("b")).alias("bs"))
         .select("query_id", F.array_join(
@@ -108,7 +111,8 @@ def rerank_and_draft(queries, matches, replies, drafts, limit) -> DataFrame:
     a query that shows generation intent.
     """
     candidates = matches.withColumn("position", F.col("rank") - 1).drop("rank")
-    ranked = apply_ranking(candidates, replies, limit)
+    # Written once: the ranking feeds both the result and the intent.
+    ranked = cut_lineage(apply_ranking(candidates, replies, limit), "ranked")
     first = ranked.where("rank = 1")
     intent = generation_intent(queries.select("query_id", "text", "project"), first)
     drafted = intent.where("wants_draft").join(drafts, "query_id").select(

@@ -302,13 +302,13 @@ def undeclared_imports(imports: DataFrame, stdlib: DataFrame, declared: DataFram
                        local=None) -> DataFrame:
     """Score of each asset by its imports that nothing declares.
 
-    ``imports``: asset_id, module. ``stdlib`` is a fixed list and is broadcast;
-    ``declared`` may be large and is left to the optimizer.
+    ``imports``: asset_id, module. The lists of names may be large; the optimizer
+    decides by their size how to join them.
     """
     top = F.substring_index("module", ".", 1)
     package = F.replace(F.lower(top), F.lit("_"), F.lit("-"))
     rows = imports.distinct().withColumn("top", top).withColumn("package", package)
-    known = [(F.broadcast(stdlib.select(F.col("module").alias("top"))), "top"),
+    known = [(stdlib.select(F.col("module").alias("top")), "top"),
              (declared.select("package"), "package")]
     if local is not None:
         known.append((local.select(F.col("module").alias("top")), "top"))

@@ -57,8 +57,10 @@ def _text_keys(specs):
     the text, and an asset offers all its pieces of that length.
     """
     texts = specs.where("length(q_text) > 0").select(F.lower("q_text").alias("text"))
-    few = [r[0] for r in texts.distinct().limit(FEW_TEXTS + 1).collect()]
-    if len(few) <= FEW_TEXTS and sum(map(len, few)) <= FEW_TEXTS * 64:
+    texts = texts.distinct()
+    count, letters = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
+    if count <= FEW_TEXTS and (letters or 0) <= FEW_TEXTS * 64:
+        few = [r[0] for r in texts.collect()]
         wanted = F.array(F.lit(None).cast("string"), *[F.lit(t) for t in few])
 
         # The outer transform binds the asset text, so it is built once per row.

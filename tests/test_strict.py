@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stacklore.functions import replies
-from stacklore.operators import scoring
+from stacklore.operators import catalogue, scoring
 from stacklore.operators.embedding import text_embedding
 from stacklore.sources.mirror import json_decode
 
@@ -64,3 +64,17 @@ def test_embedding_reads_whole_texts(spark):
     df = spark.createDataFrame(rows, "id long, text string")
     got = {r["id"]: r["embedding"] for r in text_embedding(df, ["id"], F.col("text"), 64).collect()}
     assert got[1] != got[2] and set(got[3]) == set(got[4]) == {0.0}
+
+
+def test_merge_takes_the_last_save_of_a_key(spark):
+    kinds = "project string, name string, code_hash string, version int, call_count long"
+    old = spark.createDataFrame([("p", "a", "h1", 1, 7), ("p", "b", "h2", 3, 0)], kinds)
+    saves = spark.createDataFrame(
+        [("p", "a", "h5", 1), ("p", "a", "h6", 2), ("p", "c", "h9", 3)],
+        "project string, name string, code_hash string, seq long")
+    current, history = catalogue.merge_upsert(old, saves)
+    got = {r["name"]: (r["code_hash"], r["version"], r["call_count"], r["action"])
+           for r in current.collect()}
+    assert got == {"a": ("h6", 2, 7, "new_version"), "b": ("h2", 3, 0, "keep"),
+                   "c": ("h9", 1, 0, "insert")}
+    assert [(r["name"], r["code_hash"]) for r in history.collect()] == [("a", "h1")]
