@@ -65,13 +65,15 @@ HELD = "project string, name string, code_hash string, seq long"
 def ingest_replay(saves: DataFrame, path, trigger=None):
     """Exact sequential admission, micro-batch by micro-batch.
 
-    Files must arrive in seq order. A batch starts from the hash that each name held
+    Files must arrive in seq order; a save that comes too late stops the stream, as it
+    could change what was decided. A batch starts from the hash that each name held
     after the batch before, as saves that are known to be accepted, and leaves
     the same table for the next one.
     """
     def admit(batch, batch_id):
         log = batch.select("project", "name", "code_hash", "seq")
         if batch_id > 0:
+            _check_order(log, path, batch_id)
             log = log.unionByName(log.sparkSession.read.schema(HELD).parquet(
                 f"{path}/held/batch={batch_id - 1}").withColumn("_held", F.lit(True)),
                 allowMissingColumns=True)
@@ -89,6 +91,15 @@ def ingest_replay(saves: DataFrame, path, trigger=None):
     return _start(saves, None, admit, f"{path}/checkpoint", trigger)
 
 
+def _check_order(log, path, batch_id):
+    """Refuse a batch that starts before the end of the one before it."""
+    spark, before = log.sparkSession, f"batch={batch_id - 1}"
+    known = spark.read.schema("seq long").parquet(f"{path}/held/{before}", f"{path}/rows/{before}")
+    last, first = known.agg(F.max("seq")).first()[0], log.agg(F.min("seq")).first()[0]
+    if last is not None and first is not None and first <= last:
+        raise ValueError(f"save {first} arrived after save {last}")
+
+
 def replayed_saves(spark, path) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("batch")
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from stacklore.operators import catalogue as C
@@ -97,6 +98,16 @@ def test_streamed_replay_equals_the_table(spark, sf_dir, tmp_path):
     assert len(streamed) == log.count()
 
 
+def test_streamed_replay_refuses_late_saves(spark, tmp_path):
+    log = spark.createDataFrame(
+        [("p", f"n{k}", f"h{k}", k) for k in range(6)],
+        "project string, name string, code_hash string, seq long").withColumn(
+        "turn", -F.col("seq"))
+    stream = write_in_order(spark, log, str(tmp_path / "in"), 3, order="turn")
+    with pytest.raises(Exception, match="arrived after save"):
+        S.finish(S.ingest_replay(stream, str(tmp_path / "out")))
+
+
 def test_streamed_saves_calls_and_verdicts_over_several_batches(spark, sf_dir, tmp_path):
     log = V.save_log(spark, sf_dir).select(*SAVES.replace(",", "").split()[0::2])
     S.finish(S.ingest_saves(write_in_order(spark, log, str(tmp_path / "in"), 3), str(tmp_path / "s")))
