@@ -1,10 +1,11 @@
 """Line deduplication by content-defined chunks of lines.
 
-Lines are hashed, and a rolling hash over WINDOW line hashes decides where a chunk ends, so
-boundaries move with the text and not with its place. Chunks of MIN_LINES lines or more
-that occur again anywhere are candidates by hash; those are compared as whole texts, and
-every occurrence but the first (smallest doc_id, then place) is removed. DataFrame
-functions only.
+Lines are hashed, and a rolling hash runs over WINDOW line hashes. A chunk ends where that
+hash is smaller than both of its neighbours, so boundaries move with the text and not with
+its place, and never follow each other: every chunk but the last of a text has two lines
+or more, three on average. Chunks of MIN_LINES lines or more that occur again anywhere are
+candidates by hash; those are compared as whole texts, and every occurrence but the first
+(smallest doc_id, then place) is removed. DataFrame functions only.
 
 Only hashes of chunks are shuffled to find repeats; texts travel for repeated chunks alone.
 A chunk that a large share of documents holds is counted by partial aggregates and met by
@@ -23,8 +24,6 @@ from stacklore.session import cut_lineage
 
 WINDOW = 2
 MIN_LINES = 2
-# A chunk ends where the rolling hash starts with one of these digits: every other line.
-ENDS = "01234567"
 
 
 def _chunked(docs):
@@ -32,11 +31,13 @@ def _chunked(docs):
     rows = typed(docs, "doc_id", "text").withColumn("lines", F.split("text", "\n"))
     rows = rows.withColumn("_h", F.transform("lines", lambda x: F.md5(x)))
     n = F.size("_h")
-    rolling = F.transform("_h", lambda h, i: F.substring(F.md5(F.concat(
-        *[F.coalesce(F.get("_h", i - k), F.lit("")) for k in range(WINDOW - 1, 0, -1)], h)), 1, 1))
+    rolling = F.transform("_h", lambda h, i: F.md5(F.concat(
+        *[F.coalesce(F.get("_h", i - k), F.lit("")) for k in range(WINDOW - 1, 0, -1)], h)))
     rows = rows.withColumn("_roll", rolling)
-    ends = F.filter(F.transform("_roll", lambda c, i: F.when(
-        F.lit(ENDS).contains(c) | (i == n - 1), i)), lambda i: i.isNotNull())
+    # Beyond the first and last line there is no neighbour (null), so no least one either.
+    ends = F.filter(F.transform("_roll", lambda r, i: F.when(
+        (i == n - 1) | ((r < F.get("_roll", i - 1)) & (r < F.get("_roll", i + 1))), i)),
+        lambda i: i.isNotNull())
     rows = rows.withColumn("ends", ends)
     return rows.select("doc_id", "text", "lines", "ends",
                        F.xxhash64("text").alias("text_hash"))

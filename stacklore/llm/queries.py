@@ -155,7 +155,8 @@ LINES_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x, len(ls) AS n FROM d),
 h AS (SELECT *, md5(coalesce(lag(md5(x)) OVER (PARTITION BY doc_id ORDER BY i), '') || md5(x)) AS r FROM l),
-e AS (SELECT *, CASE WHEN substr(r, 1, 1) <= '7' OR i = n THEN 1 ELSE 0 END AS ends FROM h),
+e AS (SELECT *, CASE WHEN i = n OR (r < lag(r) OVER w AND r < lead(r) OVER w) THEN 1 ELSE 0 END AS ends
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
 c AS (SELECT doc_id, k, count(*) AS m, string_agg(x, chr(10) ORDER BY i) AS chunk FROM k GROUP BY 1, 2),

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, planted cases and odd rows."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -235,6 +236,43 @@ def test_lines_keep_the_first_of_a_repeated_chunk(spark):
     assert max(len(got[k]["text"]) for k in range(1, 9)) < len(got[0]["text"])
 
 
+def brute_lines(rows):
+    """Texts without repeated chunks, by the least rolling hash of three lines."""
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    seen, left = set(), {}
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        h = [md5(x) for x in lines]
+        roll = [md5((h[i - 1] if i else "") + h[i]) for i in range(len(h))]
+        kept, chunk = [], []
+        for i, line in enumerate(lines):
+            chunk.append(line)
+            inner = 0 < i < len(lines) - 1
+            if i == len(lines) - 1 or (inner and roll[i] < min(roll[i - 1], roll[i + 1])):
+                if len(chunk) < 2 or tuple(chunk) not in seen:
+                    kept += chunk
+                if len(chunk) > 1:
+                    seen.add(tuple(chunk))
+                chunk = []
+        left[doc_id] = "\n".join(kept)
+    return left
+
+
+def test_lines_agree_with_brute_force_and_lose_no_inner_line(spark):
+    rng = random.Random(11)
+    passage = [f"shared line {k}" for k in range(60)]
+    rows = []
+    for k in range(40):
+        own = [[f"own {k} {j} {rng.random()}" for j in range(rng.randint(1, 9))] for _ in range(2)]
+        rows.append((k, "\n".join(own[0] + passage + ["same"] * rng.randint(0, 4) + own[1])))
+    rows += [(50, ""), (51, "one line"), (52, "\n\n\n"), (53, "\n\n\n")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(
+        frame(spark, [(k, t, "s") for k, t in rows])).collect()}
+    assert got == brute_lines(rows)
+    for k in range(1, 40):
+        assert sum(x.startswith("shared") for x in got[k].split("\n")) <= 12
+
+
 def test_sharding_keeps_groups_and_counts(spark):
     rows = [(k, f"single {k}", "s") for k in range(300)]
     rows += [(1000 + k, f"group {k // 4}", "s") for k in range(200)]
