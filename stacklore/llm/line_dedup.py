@@ -7,7 +7,9 @@ or more, three on average. Chunks of MIN_LINES lines or more that occur again an
 candidates by hash; those are compared as whole texts, and every occurrence but the first
 (smallest doc_id, then place) is removed. DataFrame functions only.
 
-Only hashes of chunks are shuffled to find repeats; texts travel for repeated chunks alone.
+Only hashes of chunks are shuffled to find repeats. The repeated hashes are sent to the
+chunks up to the bound of ``only``; beyond it the chunks are shuffled once. From there on
+texts travel for repeated chunks alone.
 A chunk that a large share of documents holds is counted by partial aggregates and met by
 ``join_hot``.
 
@@ -19,7 +21,7 @@ columns are ignored. An empty table gives an empty result.
 
 from pyspark.sql import DataFrame, functions as F
 
-from stacklore.llm.common import join_hot, typed
+from stacklore.llm.common import join_hot, only, typed
 from stacklore.session import cut_lineage
 
 WINDOW = 2
@@ -61,8 +63,7 @@ def repeated(docs) -> DataFrame:
     rows = _chunked(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     counts = _chunks(rows).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     counts = cut_lineage(counts, "line-hashes")
-    found = cut_lineage(_chunks(rows).join(counts.select("hash"), "hash", "left_semi"),
-                        "line-candidates")
+    found = cut_lineage(only(_chunks(rows), counts.select("hash"), "hash"), "line-candidates")
     # The bytes decide: groups are whole texts, not hashes.
     place = F.struct("doc_id", "text_hash", "k")
     groups = cut_lineage(found.groupBy("hash", "chunk").agg(
