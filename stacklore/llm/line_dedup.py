@@ -83,8 +83,9 @@ def without_repeats(docs) -> DataFrame:
     parts = F.transform("_kept", lambda k: F.array_join(F.slice(
         "lines", F.coalesce(F.get("ends", k - 1), F.lit(-1)) + 2,
         F.get("ends", k) - F.coalesce(F.get("ends", k - 1), F.lit(-1))), "\n"))
+    # Lines are null where the text is, so the text itself need not be shuffled beside them.
     return rows.select(
-        "doc_id", F.when(F.col("text").isNotNull(), F.array_join(parts, "\n")).alias("text"),
+        "doc_id", F.when(F.col("lines").isNotNull(), F.array_join(parts, "\n")).alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(n, F.lit(0)).cast("long").alias("n_chunks"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_removed"))
