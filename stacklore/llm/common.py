@@ -1,7 +1,5 @@
 """Helpers of the training-data operators: tables, hot keys, ranks, components."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from stacklore.session import cut_lineage
@@ -110,10 +108,6 @@ def components(links, rounds=60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def union_all(frames):
-    return reduce(DataFrame.unionByName, frames)
-
-
 def typed(docs, *columns, also=()):
     """Only these columns, with the types of ``documents``; missing ones are null."""
     kinds = {"doc_id": T.LongType(), "n_chars": T.LongType()}

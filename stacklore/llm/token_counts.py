@@ -20,7 +20,7 @@ import base64
 
 from pyspark.sql import DataFrame, functions as F
 
-from stacklore.llm.common import typed, union_all
+from stacklore.llm.common import typed
 from stacklore.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -75,13 +75,20 @@ def _batches(spark, store):
     return [n for n in names if _exists(spark, f"{store}/rollups/{n}/_SUCCESS")]
 
 
-def current(spark, store) -> DataFrame:
-    """What every document counts now: the sum of its signed rows."""
+def current(spark, store, changes=None) -> DataFrame:
+    """What every document, or every document of ``changes``, counts now.
+
+    That is the sum of its signed rows; rows of other documents drop out before the sum.
+    """
     done = _batches(spark, store)
     if not done:
         return spark.createDataFrame([], SIGNED)
-    return union_all([spark.read.schema(SIGNED).parquet(f"{store}/deltas/{b}") for b in done]
-                     ).groupBy("doc_id", *KEYS).agg(
+    signed = spark.read.schema(SIGNED).parquet(*[f"{store}/deltas/{b}" for b in done])
+    if changes is not None:
+        touched = changes.select(F.col("doc_id").alias("_d"), F.col("tokenizer").alias("_t"))
+        signed = signed.join(touched, F.col("doc_id").eqNullSafe(F.col("_d"))
+                             & (F.col("tokenizer") == F.col("_t")), "left_semi")
+    return signed.groupBy("doc_id", *KEYS).agg(
         F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter(
         "n_docs <> 0 OR n_tokens <> 0")
 
@@ -99,11 +106,9 @@ def commit(store, batch_id, changes) -> bool:
     changes = changes.groupBy("doc_id", "tokenizer").agg(last).select(
         "doc_id", "tokenizer", "x.*")
     changes = cut_lineage(changes, "tokens-changes")
-    old = current(spark, store)
     # Every change takes back what its document counted so far, if anything.
-    back = old.join(changes.select(F.col("doc_id").alias("_d"), F.col("tokenizer").alias("_t")),
-                    F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tokenizer") == F.col("_t")),
-                    "left_semi").select(
+    old = cut_lineage(current(spark, store, changes), "tokens-old")
+    back = old.select(
         "doc_id", *KEYS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"))
     known = old.select(F.col("doc_id").alias("_d"), F.col("tokenizer").alias("_t")).distinct()
     there = changes.filter("op = 'insert'").unionByName(changes.filter("op = 'revise'").join(
@@ -123,7 +128,7 @@ def totals(spark, store) -> DataFrame:
     done = _batches(spark, store)
     if not done:
         return spark.createDataFrame([], SIGNED).drop("doc_id")
-    return union_all([spark.read.parquet(f"{store}/rollups/{b}") for b in done]).groupBy(
+    return spark.read.schema(SIGNED).parquet(*[f"{store}/rollups/{b}" for b in done]).groupBy(
         *KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter(
         "n_docs <> 0")
 
