@@ -36,8 +36,9 @@ def fit_on_sample(docs, ids, features, fit, size):
     """Fit a model on the texts of ``ids`` in one task and return it as bytes.
 
     ``features`` turns an Arrow column of texts into one array of feature numbers per
-    text, ``fit`` turns those lists with labels and weights into an array. The number of
-    rows is bounded by the sample, the model by ``size`` numbers.
+    text, ``fit`` turns those lists with labels and weights into an array. Rows that share
+    an id train as one text, the smallest, so the rows are bounded by the sample even where
+    one id fills the table; the model is bounded by ``size`` numbers.
     """
     def run(batches):
         found, labels, weights = [], [], []
@@ -52,7 +53,8 @@ def fit_on_sample(docs, ids, features, fit, size):
             [pa.array([np.asarray(model, np.float32).tobytes()], pa.binary())], ["model"])
 
     texts = typed(docs, "doc_id", "text").filter(F.col("text").isNotNull()).join(
-        F.broadcast(ids), "doc_id")
+        F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "weight").agg(
+        F.min("text").alias("text"))
     row = texts.repartition(1).sortWithinPartitions("doc_id", "text").select(
         "text", "label", "weight").mapInArrow(run, "model binary").first()
     return np.frombuffer(row["model"], np.float32) if row else np.zeros(size, np.float32)
