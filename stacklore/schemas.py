@@ -39,7 +39,7 @@ ASSET_DEFAULTS = {
     "verification_status": "pending",
 }
 
-# Mirror metadata: tags arrive as a list or as JSON text, so both are read as text.
+# Mirror metadata: lists and records arrive as JSON or as JSON text, so both are read as text.
 MIRROR_METADATA = T.StructType([
     T.StructField("project", T.StringType()),
     T.StructField("name", T.StringType()),
@@ -53,6 +53,11 @@ MIRROR_METADATA = T.StructType([
     T.StructField("call_count", T.LongType()),
     T.StructField("code_hash", T.StringType()),
     T.StructField("version", T.IntegerType()),
+    T.StructField("verification_status", T.StringType()),
+    T.StructField("env_fingerprint", T.StringType()),
+    T.StructField("test_metrics", T.StringType()),
+    T.StructField("created_at", T.TimestampType()),
+    T.StructField("updated_at", T.TimestampType()),
 ])
 
 CI_RESULT = T.StructType([

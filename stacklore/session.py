@@ -43,7 +43,12 @@ def local_session(cpus="*", partitions=8, memory="8g", **extra):
 
 
 def scratch_dir(spark, label="run"):
-    """A new folder below the one that the cluster shares for checkpoints."""
+    """A new folder below the one that the cluster shares for checkpoints.
+
+    All folders of an application lie in ``stacklore/{application id}``. Its results may
+    still read them, so whoever started the application removes that one folder when the
+    results are stored elsewhere.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         # Only a session whose executors live in the driver may use a folder of this machine.
@@ -52,7 +57,8 @@ def scratch_dir(spark, label="run"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="run-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/stacklore/{label}-{uuid.uuid4().hex}"
+    run = spark.sparkContext.applicationId
+    return f"{base.rstrip('/')}/stacklore/{run}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df, label="step"):

@@ -59,34 +59,37 @@ def _file_path():
 
 
 def mirror_read_tree(spark, path) -> DataFrame:
-    """Read the tree layout of every project."""
+    """Read the tree layout of every project.
+
+    Code is looked for in the folder that holds the metadata, whatever project that names;
+    ``folder`` is kept beside ``project``.
+    """
     meta = (
         spark.read.schema(schemas.MIRROR_METADATA).option("multiLine", True)
         .json(f"{path}/projects/*/metadata/*.json")
-        .withColumn("_path", _file_path())
-        .withColumn("project", F.coalesce("project", F.regexp_extract(
-            "_path", r"projects/([^/]+)/metadata/", 1)))
-        .where("name is not null").drop("_path")
+        .withColumn("folder", F.regexp_extract(_file_path(), r"projects/([^/]+)/metadata/", 1))
+        .withColumn("project", F.coalesce("project", "folder"))
+        .where("name is not null")
     )
     # Read as bytes: the text reader drops the last line end.
     files = spark.read.format("binaryFile").load(f"{path}/projects/*/functions/*/*").withColumn(
         "_path", _file_path())
     code = files.select(
-        F.regexp_extract("_path", _PATH, 1).alias("project"),
+        F.regexp_extract("_path", _PATH, 1).alias("folder"),
         F.regexp_extract("_path", _PATH, 3).alias("name"),
         F.regexp_extract("_path", _PATH, 2).alias("language"),
         F.regexp_extract("_path", _PATH, 4).alias("extension"),
         F.decode("content", "UTF-8").alias("code"))
-    return mirror_join(meta, code)
+    return mirror_join(meta, code, ["folder", "name"])
 
 
-def mirror_join(meta: DataFrame, code: DataFrame) -> DataFrame:
+def mirror_join(meta: DataFrame, code: DataFrame, on=KEY) -> DataFrame:
     """Metadata with the code of its file, and the hash of what was really read."""
     meta = meta.withColumn("language", F.coalesce("language", F.lit("python")))
     files = code.select(
-        *KEY, F.lower("language").alias("_language"), F.col("code").alias("_file_code"),
+        *on, F.lower("language").alias("_language"), F.col("code").alias("_file_code"),
         *([F.col("extension").alias("_extension")] if "extension" in code.columns else []))
-    match = [*KEY]
+    match = [*on]
     keyed = meta.withColumn("_language", F.lower("language"))
     match.append("_language")
     if "_extension" in files.columns:

@@ -28,9 +28,23 @@ def test_tree_layout_and_old_metadata(spark, tmp_path):
     (meta / "g.json").write_text(json.dumps(
         {"name": "g", "project": "other", "language": "rust", "code": "fn", "tags": "[\"x\"]",
          "dependencies": None}))
+    # Code beside the metadata counts, code in the folder of the named project does not.
+    (meta / "h.json").write_text('{"name": "h", "project": "other", "code": "old", '
+                                 '"verification_status": "verified", "test_metrics": {"passed": 3}, '
+                                 '"env_fingerprint": "{}", "created_at": "2024-06-01 10:00:00"}')
+    (code / "h.py").write_text("beside")
+    far = tmp_path / "projects" / "other" / "functions" / "python"
+    far.mkdir(parents=True)
+    (far / "h.py").write_text("far away")
     (meta / "broken.json").write_text("{")
     rows = {r["name"]: r for r in mirror.mirror_read_tree(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"f", "g", "c++"}
+    assert set(rows) == {"f", "g", "c++", "h"}
+    h = rows["h"]
+    assert (h["project"], h["folder"], h["code"], h["code_from_file"]) == (
+        "other", "p a", "beside", True)
+    assert (h["verification_status"], json.loads(h["test_metrics"]), h["env_fingerprint"]) == (
+        "verified", {"passed": 3}, "{}")
+    assert str(h["created_at"]) == "2024-06-01 10:00:00" and h["updated_at"] is None
     assert rows["c++"]["code"] == "plus"
     f, g = rows["f"], rows["g"]
     assert (f["project"], f["code"], f["tags"], f["language"]) == ("p a", "new\n", ["a", "b"], "python")
@@ -58,6 +72,16 @@ def test_export_edit_import_is_a_new_version_and_then_the_same(spark, tmp_path):
     assert C.catalogue_mirror_diff(current, back).where("state <> 'same'").count() == 0
 
 
+def test_export_keeps_every_field(spark, tmp_path):
+    rows = spark.sql("""SELECT 'p' AS project, 'f' AS name, 'a = 1' AS code, 'python' AS language,
+        array('t') AS tags, 'verified' AS verification_status, named_struct('os', 'linux')
+        AS env_fingerprint, timestamp'2024-06-01 10:00:00.5' AS created_at""")
+    mirror.mirror_export(rows, str(tmp_path))
+    back = mirror.mirror_read(spark, str(tmp_path)).collect()[0]
+    assert back["verification_status"] == "verified" and back["env_fingerprint"] == '{"os":"linux"}'
+    assert back["created_at"] == rows.collect()[0]["created_at"] and back["tags"] == ["t"]
+
+
 def test_broken_results_are_left_out(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"os": "linux", "status": "pass"}\n{"os": "li')
     assert [r["os"] for r in ci.ci_results_read(spark, str(tmp_path)).collect()] == ["linux"]
