@@ -13,6 +13,12 @@ texts travel for repeated chunks alone.
 A chunk that a large share of documents holds is counted by partial aggregates and met by
 ``join_hot``.
 
+Boundaries depend on the lines around them, so ``without_repeats`` misses most repeated
+passages under six lines. ``without_repeated_runs`` misses none of two lines or more: every
+two lines that follow each other are a seed, seeds are compared as whole texts, and every
+occurrence but the first is removed. A run that came before consists of such seeds, so their
+union is the whole run. The first occurrence of every line stays.
+
 Cases: a null text stays null with no lines; an empty one has one empty line. Rows without
 id are returned unchanged and remove nothing. Rows that share id and text are one document
 and get the same result; rows that share only the id are told apart by their text. Other
@@ -89,3 +95,49 @@ def without_repeats(docs) -> DataFrame:
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(n, F.lit(0)).cast("long").alias("n_chunks"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def _pairs(rows):
+    """One row per two lines that follow each other: number p of the first, and their text."""
+    rows = rows.filter(F.size("lines") >= MIN_LINES)
+    pairs = F.transform(F.slice("lines", 1, F.size("lines") - 1), lambda x, i: F.concat(
+        x, F.lit("\n"), F.get("lines", i + 1)))
+    return rows.select("doc_id", "text_hash", F.posexplode(pairs).alias("p", "pair")).withColumn(
+        "hash", F.xxhash64("pair"))
+
+
+def _lined(docs):
+    return typed(docs, "doc_id", "text").select(
+        "doc_id", F.split("text", "\n").alias("lines"), F.xxhash64("text").alias("text_hash"))
+
+
+def repeated_runs(docs) -> DataFrame:
+    """Lines to remove: one row per document, (doc_id, text_hash, drops), drops its numbers."""
+    rows = _lined(docs).filter("doc_id IS NOT NULL AND lines IS NOT NULL")
+    counts = _pairs(rows).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = cut_lineage(counts, "run-hashes")
+    found = cut_lineage(only(_pairs(rows), counts.select("hash"), "hash"), "run-candidates")
+    place = F.struct("doc_id", "text_hash", "p")
+    groups = cut_lineage(found.groupBy("hash", "pair").agg(
+        F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), "run-groups")
+    late = join_hot(found, groups, ["hash", "pair"]).filter(place != F.col("first"))
+    # Three equal lines: the second belongs to the first pair, which stays.
+    touches = (F.col("first.doc_id") == F.col("doc_id")) & (
+        F.col("first.text_hash") == F.col("text_hash")) & (F.col("first.p") == F.col("p") - 1)
+    lines = F.when(touches, F.array(F.col("p") + 1)).otherwise(F.array("p", F.col("p") + 1))
+    return late.select("doc_id", "text_hash", F.explode(lines).alias("line")).groupBy(
+        "doc_id", "text_hash").agg(F.collect_set("line").alias("drops"))
+
+
+def without_repeated_runs(docs) -> DataFrame:
+    """doc_id, text without repeated runs of lines, n_lines and n_removed lines of every row."""
+    rows = _lined(docs).join(repeated_runs(docs), ["doc_id", "text_hash"], "left")
+    none = F.array().cast("array<int>")
+    kept = F.array_sort(F.array_except(
+        F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))), F.coalesce("drops", none)))
+    rows = rows.withColumn("_kept", kept)
+    return rows.select(
+        "doc_id", F.when(F.col("lines").isNotNull(), F.array_join(F.transform(
+            "_kept", lambda k: F.get("lines", k)), "\n")).alias("text"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_removed"))

@@ -178,6 +178,31 @@ def op6_line_dedup(spark, sf_dir):
                        F.md5("text").alias("kept_md5"))
 
 
+RUNS_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM d),
+p AS (SELECT doc_id, i, x || chr(10) || lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS pair FROM l),
+f AS (SELECT *, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi
+      FROM p WHERE pair IS NOT NULL WINDOW w AS (PARTITION BY pair ORDER BY doc_id, i)),
+g AS (SELECT DISTINCT doc_id, i FROM (
+        SELECT doc_id, unnest(CASE WHEN fd = doc_id AND fi = i - 1 THEN [i + 1] ELSE [i, i + 1] END) AS i
+        FROM f WHERE fd <> doc_id OR fi <> i)),
+t AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+             coalesce(string_agg(x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS kept
+      FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_removed, length(kept)::BIGINT AS kept_chars, md5(kept) AS kept_md5 FROM t
+UNION ALL SELECT doc_id, 0, 0, NULL, NULL FROM documents WHERE text IS NULL"""
+
+
+@query("op6_line_runs", RUNS_SQL)
+def op6_line_runs(spark, sf_dir):
+    """Every repeated run of two lines or more; op6_line_dedup is bound to chunks by its SQL."""
+    done = line_dedup.without_repeated_runs(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed",
+                       F.char_length("text").cast("long").alias("kept_chars"),
+                       F.md5("text").alias("kept_md5"))
+
+
 @query("op7_sharding")
 def op7_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
