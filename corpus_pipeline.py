@@ -30,8 +30,8 @@ def benchmark_passages(spark, docs, sf_dir):
 
 
 def source_mix(spark, docs, sf_dir):
-    """Every document as many times as the mix takes it."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(
+    """Every document as many times as the mix takes it, chances by size."""
+    copies = mixing.mix(docs, by_size=True).groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
     met = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(

@@ -3,11 +3,14 @@
 Sources share ``budget`` times all words by weight, but none gets more than ``most`` times
 its own size; the excess goes to the others by weight (``targets``). A source whose target
 is at least its size first gives every document as many certain whole copies as fit. The
-rest of the target is a sample of one more copy: every document draws a random number u
-from its id, the odds of u divided by the odds of its inclusion chance rank the documents,
-and they are taken in that order until the words still wanted are reached. The chance is
-the share of the source that is wanted, times the document's own ``appeal`` if the table
-has that column.
+rest of the target is a sample of one more copy. Every document has a chance of inclusion:
+its measure (the column ``appeal``, or its words with ``by_size``) times the level of its
+source, at which the expected words of the sample are the words still wanted. Where that
+reaches 1 the copy is certain, and the level of the others rises to the words then left.
+Every other document draws a random number u from its id, the odds of u divided by the odds
+of its chance rank the documents, and they are taken in that order until the words still
+wanted are reached. Without a measure all documents of a source have the same chance, the
+share of the source that is wanted, and the order is that of u.
 
 Ranks fall into buckets of a known range, sums of buckets give every bucket the words
 before it, and only the bucket in which the target is reached is ordered row by row; no
@@ -15,8 +18,9 @@ source is sorted as a whole. The draw depends on the id and the seed alone, so r
 
 Cases: a null or empty text has size 0 and is taken 0 words. A null source is a source of
 its own, last in order. Rows that share an id (or have none) draw the same number and are
-ordered by size. A source without words has target 0. Other columns are ignored. An empty
-table gives an empty result.
+ordered by size. A source without words has target 0. Measures count as 1e-9 at least
+(null ones too) and 1e12 at most. Other columns are ignored. An empty table gives an empty
+result.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -69,9 +73,51 @@ def targets(sizes, weights=WEIGHTS, budget=BUDGET, most=MOST) -> DataFrame:
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix(docs, weights=WEIGHTS, budget=BUDGET, most=MOST, seed=SEED) -> DataFrame:
+def _levels(rows):
+    """_s, _level and _sure of every source with words to sample.
+
+    The chance of a document is its appeal times the level; _sure has the words of those at 1.
+    Levels only rise, so certain documents stay certain, and the rounds end when none is new.
+    """
+    mass = cut_lineage(rows.filter("size > 0 AND _rest > 0").groupBy("source", "appeal").agg(
+        F.sum("size").alias("words"), F.first("_rest").alias("_rest")), "mix-mass")
+    levels = cut_lineage(mass.groupBy(F.col("source").alias("_s")).agg(
+        (F.first("_rest") / F.sum(F.col("appeal") * F.col("words"))).alias("_level"),
+        F.lit(0).cast("long").alias("_sure")), "mix-levels")
+    while True:
+        sure = F.col("appeal") * F.col("_level") >= 1
+        sums = mass.join(levels, F.col("source").eqNullSafe(F.col("_s"))).groupBy("_s").agg(
+            F.first("_level").alias("_old"), F.first("_sure").alias("_was"),
+            F.first("_rest").alias("_rest"),
+            F.coalesce(F.sum(F.when(sure, F.col("words"))), F.lit(0)).alias("_sure"),
+            F.sum(F.when(~sure, F.col("appeal") * F.col("words"))).alias("_open"))
+        levels = cut_lineage(sums.select("_s", F.greatest("_old", (
+            F.col("_rest") - F.col("_sure")) / F.col("_open")).alias("_level"), "_sure",
+            (F.col("_sure") > F.col("_was")).alias("_new")), "mix-levels")
+        if levels.filter("_new").isEmpty():
+            return levels.drop("_new")
+
+
+def chances(rows, equal):
+    """``rows`` with _chance, _certain (whether it is 1) and _rest less the certain words."""
+    if equal:
+        return rows.withColumn("_chance", F.when(
+            F.col("source_size") > 0, F.col("_rest") / F.col("source_size"))).withColumn(
+            "_certain", F.lit(False))
+    met = rows.join(_levels(rows), F.col("source").eqNullSafe(F.col("_s")), "left")
+    return met.withColumn("_chance", F.least(F.lit(1.0), F.col("appeal") * F.col("_level"))
+                          ).withColumn("_certain", F.coalesce(F.col("_chance") >= 1, F.lit(False))
+                          ).withColumn("_rest", F.col("_rest") - F.coalesce("_sure", F.lit(0))
+                          ).drop("_s", "_level", "_sure")
+
+
+def mix(docs, weights=WEIGHTS, budget=BUDGET, most=MOST, seed=SEED, by_size=False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken for every row."""
-    sizes = cut_lineage(sized(docs), "mix-sizes")
+    equal = not by_size and "appeal" not in docs.columns
+    sizes = sized(docs)
+    measure = F.col("size").cast("double") if by_size else F.col("appeal")
+    sizes = cut_lineage(sizes.withColumn("appeal", F.least(F.greatest(
+        measure, F.lit(1e-9)), F.lit(1e12))), "mix-sizes")
     per = cut_lineage(targets(sizes, weights, budget, most), "mix-targets")
     digits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(
         F.col("doc_id").cast("string"), F.lit("none")))), 1, 12), 16, 10)
@@ -80,19 +126,27 @@ def mix(docs, weights=WEIGHTS, budget=BUDGET, most=MOST, seed=SEED) -> DataFrame
     rows = rows.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(
         F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rows = rows.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    # Odds of u over odds of inclusion; the source's own odds are the same for all its rows.
-    rows = rows.withColumn("_odds", u / (1 - u) / F.greatest(F.col("appeal"), F.lit(1e-9)))
+    if not equal:
+        rows = cut_lineage(rows, "mix-wanted")
+    rows = chances(rows, equal)
+    # Odds of u over odds of inclusion. The last document taken has about 1, where no more
+    # rows lie close together than there are documents, so its bucket is never a large one.
+    rows = rows.withColumn("_odds", u / (1 - u) * F.when(
+        (F.col("_chance") > 0) & (F.col("_chance") < 1),
+        (1 - F.col("_chance")) / F.col("_chance")).otherwise(1.0))
     place = F.col("_odds") / (1 + F.col("_odds"))
     rows = rows.withColumn("_bucket", F.floor(
         place * F.ceil(F.col("n_docs") / PER_BUCKET)).cast("long"))
     rows = cut_lineage(rows, "mix-ranked")
+    certain = rows.filter("_certain").withColumn("_more", F.lit(1).cast("long"))
+    rows = rows.filter("NOT _certain")
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "_bucket").agg(
         F.sum("size").alias("_words"), F.count("*").alias("n")).withColumn(
         "_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    sums = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"),
-                       "_words", "_before")
+    sums = cut_lineage(sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"),
+                                   "_words", "_before"), "mix-sums")
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_s"))
                      & (F.col("_bucket") == F.col("_b")))
     inside = Window.partitionBy("source", "_bucket").orderBy(
@@ -104,7 +158,10 @@ def mix(docs, weights=WEIGHTS, budget=BUDGET, most=MOST, seed=SEED) -> DataFrame
     apart = rows.filter(~((F.col("_before") <= F.col("_rest"))
                           & (F.col("_before") + F.col("_words") > F.col("_rest")))).withColumn(
         "_more", (F.col("_before") + F.col("_words") <= F.col("_rest")).cast("long"))
-    done = apart.unionByName(at).withColumn("copies", F.col("_whole") + F.col("_more"))
+    done = apart.unionByName(at)
+    if not equal:
+        done = done.unionByName(certain, allowMissingColumns=True)
+    done = done.withColumn("copies", F.col("_whole") + F.col("_more"))
     return done.select("doc_id", "source", "size", "source_size", "target", "copies",
                        (F.col("copies") * F.col("size")).alias("taken"))
 
