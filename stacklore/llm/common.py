@@ -78,6 +78,20 @@ def ranked(df, part, order, total, per_window=20_000, name="rank"):
         "_bucket", "_b", "_part", "_start")
 
 
+def dealt(df, order, label, per_bucket=200_000) -> DataFrame:
+    """``df`` written in buckets, numbered in ``_bucket``, that follow the sort order.
+
+    Bucket b holds the rows between those of b - 1 and b + 1 in the order of the columns
+    ``order``, so a scan over all rows is windows inside buckets and a few carried values
+    per bucket. End ``order`` with a column that tells equal rows apart where many may be
+    equal; the buckets grow with the rows, about ``per_bucket`` each.
+    """
+    rows = cut_lineage(df, label)
+    buckets = max(1, -(-rows.count() // per_bucket))
+    return cut_lineage(rows.repartitionByRange(buckets, *order).withColumn(
+        "_bucket", F.spark_partition_id()), f"{label}-dealt")
+
+
 def components(links, rounds=60) -> DataFrame:
     """Connected components of ``links`` (a, b): one row (node, label) per linked node.
 

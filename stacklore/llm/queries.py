@@ -3,16 +3,19 @@
 from pyspark.sql import functions as F
 
 from stacklore.llm import (
+    clusters,
     decontamination,
     language,
     line_dedup,
     mixing,
     near_dedup,
+    prefix_trie,
     quality,
     rules,
     sharding,
     token_counts,
     toxicity,
+    url_filters,
 )
 from stacklore.llm.common import held_out, join_hot, table
 from stacklore.session import cut_lineage, scratch_dir
@@ -241,3 +244,98 @@ FROM o"""
 @query("op10_mixing", MIX_SQL)
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+URL_SQL = r"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id,
+             CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT rid, page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+  ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+best AS (SELECT rid, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN best USING (rid)"""
+
+
+@query("op11_url_filters", URL_SQL)
+def op11_url_filters(spark, sf_dir):
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+def _cluster_sql(rounds=5, k=40):
+    """Plain distances, one pair of steps for each round."""
+    steps = [rf"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM p
+  QUALIFY c < {k}),
+l AS MATERIALIZED (SELECT rid, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM p)"""]
+    for r in range(rounds + 1):
+        steps.append(rf"""
+b{r} AS MATERIALIZED (SELECT c, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM c{r}),
+s{r} AS MATERIALIZED (SELECT rid, c, sum((l.x - b{r}.x) * (l.x - b{r}.x))::BIGINT AS distance
+  FROM l JOIN b{r} USING (d) GROUP BY rid, c),
+a{r} AS MATERIALIZED (SELECT rid, c, distance FROM s{r}
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, c) = 1)""")
+        if r < rounds:
+            steps.append(rf"""
+m{r} AS MATERIALIZED (SELECT c, d, CASE WHEN sum(x) >= 0 THEN sum(x) // count(*)
+    ELSE -((-sum(x) + count(*) - 1) // count(*)) END::BIGINT AS x
+  FROM a{r} JOIN l USING (rid) GROUP BY c, d),
+n{r} AS (SELECT c, list(x ORDER BY d) AS v FROM m{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN n{r} USING (c))""")
+    return ",".join(steps) + rf"""
+SELECT vec_id, c::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN p USING (rid) JOIN c{rounds} k USING (c)""".replace("to_string(v,", "to_string(k.v,")
+
+
+@query("op12_clusters", _cluster_sql())
+def op12_clusters(spark, sf_dir):
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+# Sequences are lists of whole turns here; crc32 runs bit by bit over the decimal digits.
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(length(r)::VARCHAR || ':' || r || x)) AS pos, r, x
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+        WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (
+  SELECT c.conv_id, 0 AS own, pos, r, x FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+s AS (SELECT conv_id, row_number() OVER w AS depth, length(x) AS chars,
+        list({'r': r, 'x': x}) OVER w AS seq FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)),
+m AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM (
+        SELECT conv_id, depth, chars, seq FROM s
+        UNION ALL SELECT conv_id, 0, 0, [] FROM c)),
+n AS MATERIALIZED (
+  SELECT depth, seq, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM m GROUP BY depth, seq),
+k AS (SELECT a.depth, a.seq, count(b.seq) AS n_children FROM n a
+      LEFT JOIN n b ON b.depth = a.depth + 1 AND list_slice(b.seq, 1, a.depth) = a.seq GROUP BY a.depth, a.seq),
+z AS (SELECT * FROM n JOIN k USING (depth, seq)),
+up AS (SELECT seq[1:d] AS seq, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved_tokens
+       FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM z) GROUP BY 1)
+SELECT z.conv_id, z.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, z.n_convs, z.n_children,
+       n_leaves, saved_tokens::BIGINT AS saved_tokens, z.ends_sha256
+FROM z JOIN up ON up.seq = z.seq LEFT JOIN n p ON p.depth = z.depth - 1 AND p.seq = list_slice(z.seq, 1, z.depth - 1)"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
