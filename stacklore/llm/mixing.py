@@ -16,7 +16,8 @@ Ranks fall into buckets of a known range, sums of buckets give every bucket the
 before it, and only the bucket in which the target is reached is ordered row by row; no
 source is sorted as a whole. The draw depends on the id and the seed alone, so reruns agree.
 
-Cases: a null or empty text has size 0 and is taken 0 words. A null source is a source of
+Cases: a null or empty text has size 0, gets the whole copies of its source and is taken 0
+words. A null source is a source of
 its own, last in order. Rows that share an id (or have none) draw the same number and are
 ordered by size. A source without words has target 0. Measures count as 1e-9 at least
 (null ones too) and 1e12 at most. Other columns are ignored. An empty table gives an empty
@@ -34,13 +35,14 @@ SEED = "mix-1"
 PER_BUCKET = 5_000
 
 
-def sized(docs) -> DataFrame:
-    """doc_id, source, appeal and size, the number of words."""
+def sized(docs, row=None) -> DataFrame:
+    """doc_id, source, appeal and size, the number of words; ``row`` too if it is named."""
     appeal = F.col("appeal").cast("double") if "appeal" in docs.columns else F.lit(1.0)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), appeal.alias("appeal"),
-        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *[F.col(c).alias("row") for c in [row] if c])
 
 
 def targets(sizes, weights=WEIGHTS, budget=BUDGET, most=MOST) -> DataFrame:
@@ -105,16 +107,22 @@ def chances(rows, equal):
             F.col("source_size") > 0, F.col("_rest") / F.col("source_size"))).withColumn(
             "_certain", F.lit(False))
     met = rows.join(_levels(rows), F.col("source").eqNullSafe(F.col("_s")), "left")
-    return met.withColumn("_chance", F.least(F.lit(1.0), F.col("appeal") * F.col("_level"))
-                          ).withColumn("_certain", F.coalesce(F.col("_chance") >= 1, F.lit(False))
+    # A source with nothing left to sample has no level, and its documents no chance.
+    return met.withColumn("_chance", F.least(F.lit(1.0), F.coalesce(
+        F.col("appeal") * F.col("_level"), F.lit(0.0)))).withColumn("_certain", F.col("_chance") >= 1
                           ).withColumn("_rest", F.col("_rest") - F.coalesce("_sure", F.lit(0))
                           ).drop("_s", "_level", "_sure")
 
 
-def mix(docs, weights=WEIGHTS, budget=BUDGET, most=MOST, seed=SEED, by_size=False) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every row."""
+def mix(docs, weights=WEIGHTS, budget=BUDGET, most=MOST, seed=SEED, by_size=False,
+        row=None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken for every row.
+
+    ``row`` names a column that numbers the rows, which the result then has as ``row``:
+    ids may be null or shared, so they don't tell which row has how many copies.
+    """
     equal = not by_size and "appeal" not in docs.columns
-    sizes = sized(docs)
+    sizes = sized(docs, row)
     measure = F.col("size").cast("double") if by_size else F.col("appeal")
     sizes = cut_lineage(sizes.withColumn("appeal", F.least(F.greatest(
         measure, F.lit(1e-9)), F.lit(1e12))), "mix-sizes")
@@ -138,8 +146,10 @@ def mix(docs, weights=WEIGHTS, budget=BUDGET, most=MOST, seed=SEED, by_size=Fals
     rows = rows.withColumn("_bucket", F.floor(
         place * F.ceil(F.col("n_docs") / PER_BUCKET)).cast("long"))
     rows = cut_lineage(rows, "mix-ranked")
-    certain = rows.filter("_certain").withColumn("_more", F.lit(1).cast("long"))
-    rows = rows.filter("NOT _certain")
+    # Certain documents, and those without words, take no place in the order.
+    settled = rows.filter("_certain OR size = 0").withColumn(
+        "_more", (F.col("_certain") & (F.col("size") > 0)).cast("long"))
+    rows = rows.filter("NOT _certain AND size > 0")
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "_bucket").agg(
@@ -150,7 +160,7 @@ def mix(docs, weights=WEIGHTS, budget=BUDGET, most=MOST, seed=SEED, by_size=Fals
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_s"))
                      & (F.col("_bucket") == F.col("_b")))
     inside = Window.partitionBy("source", "_bucket").orderBy(
-        "_odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        "_odds", "doc_id", "size", *["row"] * bool(row)).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     at = rows.filter((F.col("_before") <= F.col("_rest"))
                      & (F.col("_before") + F.col("_words") > F.col("_rest"))).withColumn(
@@ -158,12 +168,11 @@ def mix(docs, weights=WEIGHTS, budget=BUDGET, most=MOST, seed=SEED, by_size=Fals
     apart = rows.filter(~((F.col("_before") <= F.col("_rest"))
                           & (F.col("_before") + F.col("_words") > F.col("_rest")))).withColumn(
         "_more", (F.col("_before") + F.col("_words") <= F.col("_rest")).cast("long"))
-    done = apart.unionByName(at)
-    if not equal:
-        done = done.unionByName(certain, allowMissingColumns=True)
-    done = done.withColumn("copies", F.col("_whole") + F.col("_more"))
+    done = apart.unionByName(at).unionByName(settled, allowMissingColumns=True).withColumn(
+        "copies", F.col("_whole") + F.col("_more"))
     return done.select("doc_id", "source", "size", "source_size", "target", "copies",
-                       (F.col("copies") * F.col("size")).alias("taken"))
+                       (F.col("copies") * F.col("size")).alias("taken"),
+                       *["row"] * bool(row))
 
 
 def _with_source(sizes, per):

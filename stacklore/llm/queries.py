@@ -217,6 +217,8 @@ def op8_decontamination(spark, sf_dir):
                                         table(spark, sf_dir, "benchmark"))
 
 
+# The level of a source is found on its documents in falling order of size: the first k are
+# certain where the level that the others then share leaves the next one below a chance of 1.
 MIX_SQL = rf"""
 WITH s AS (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
@@ -228,22 +230,32 @@ b AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER ()
       FROM w),
 v AS (SELECT first(rest / ws ORDER BY cap / w, source) FILTER (rest / ws * w <= cap) AS level FROM b),
 t AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM b, v),
-r AS (SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
+r AS (SELECT row_number() OVER () AS rid, s.doc_id, s.source, s.size, t.source_size, t.target,
         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS whole,
+        target - whole * t.source_size AS rest,
         (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'none')), 1, 12))::BIGINT + 0.5::DOUBLE)
           / 281474976710656.0::DOUBLE AS u
       FROM s JOIN t ON t.source IS NOT DISTINCT FROM s.source),
-o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u / (1 - u), doc_id, size
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM r)
-SELECT doc_id, source, size, source_size, target,
-       whole + CASE WHEN ahead + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END AS copies,
-       (whole + CASE WHEN ahead + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS taken
-FROM o"""
+c AS (SELECT *, (rest - coalesce(sum(size) OVER larger, 0)) / (sum(size::DOUBLE * size) OVER not_larger) AS lev,
+             coalesce(sum(size) OVER larger, 0) AS above FROM r WHERE size > 0 AND rest > 0
+      WINDOW larger AS (PARTITION BY source ORDER BY size DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        not_larger AS (PARTITION BY source ORDER BY size DESC RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+l AS (SELECT source, arg_min(lev, above) AS lev, min(above) AS sure FROM c WHERE lev * size < 1 GROUP BY source),
+i AS (SELECT r.*, least(1.0::DOUBLE, coalesce(size::DOUBLE * lev, 0)) AS pi, coalesce(sure, 0) AS sure
+      FROM r LEFT JOIN l ON l.source IS NOT DISTINCT FROM r.source),
+o AS (SELECT *, pi >= 1 AS certain, CASE WHEN size > 0 AND pi > 0 AND pi < 1 THEN u / (1 - u) * ((1 - pi) / pi)
+        ELSE 1e300 END AS odds FROM i),
+q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY certain, odds, doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM o WHERE NOT certain
+      UNION ALL SELECT *, 0 FROM o WHERE certain),
+k AS (SELECT *, whole + CASE WHEN certain OR size > 0 AND ahead + size / 2.0 <= rest - sure THEN 1 ELSE 0 END AS copies FROM q)
+SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM k"""
 
 
 @query("op10_mixing", MIX_SQL)
 def op10_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """Chances in proportion to the words of a document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), by_size=True)
 
 
 URL_SQL = r"""
