@@ -30,12 +30,17 @@ def benchmark_passages(spark, docs, sf_dir):
 
 
 def source_mix(spark, docs, sf_dir):
-    """Every document as many times as the mix takes it, chances by size."""
-    copies = mixing.mix(docs, by_size=True).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    met = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        docs.columns)
+    """Every row as many times as the mix takes it, chances by size.
+
+    Rows are numbered and written first, as ids may be null or shared and columns may have
+    any name.
+    """
+    rows = cut_lineage(docs.select(F.struct("*").alias("doc"),
+                                   F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    taken = mixing.mix(rows.select("doc.doc_id", "doc.source", "doc.text", "row"),
+                       by_size=True, row="row").filter("copies > 0")
+    met = rows.join(taken.select("row", F.col("copies").cast("int").alias("copies")), "row")
+    return met.select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
 def shards(spark, docs, sf_dir):
