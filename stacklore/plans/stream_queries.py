@@ -8,7 +8,7 @@ from stacklore.plans.catalogue_queries import REPLAY_SQL
 from stacklore.plans.registry import query
 from stacklore.plans.sql_views import stamp, with_views
 from stacklore.session import scratch_dir
-from stacklore.streaming import ingest as S
+from stacklore.streaming import ingest as S, saves
 
 
 def _stream(spark, d, name):
@@ -18,20 +18,60 @@ def _stream(spark, d, name):
         "pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-@query("stream_save_ingest", with_views("""
-    SELECT project, name, seq, code_hash, 'pending' AS verification_status,
-           CAST(n AS INTEGER) AS version
-    FROM (SELECT *, count(*) OVER (PARTITION BY project, name ORDER BY seq) AS n,
-                 row_number() OVER (PARTITION BY project, name ORDER BY seq DESC) AS back
-          FROM (SELECT * FROM save_log QUALIFY row_number() OVER (
-                  PARTITION BY project, code_hash ORDER BY seq) = 1)) WHERE back = 1""",
-    "save_log"))
-def stream_save_ingest(spark, d):
+def _arrivals(spark, d, parts=3):
+    """The documents as a stream of ``parts`` micro-batches in the order of their ids."""
+    documents = V.table(spark, d, "documents")
+    cuts = documents.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.001)
+    path = scratch_dir(spark, "arrivals")
+    for part, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        rows = documents
+        if low is not None:
+            rows = rows.where(F.col("doc_id") > low)
+        if high is not None:
+            rows = rows.where(F.col("doc_id") <= high)
+        # Files are streamed by the time they were written.
+        rows.coalesce(8).write.parquet(f"{path}/part={part}")
+    return spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 8).option(
+        "recursiveFileLookup", True).parquet(path)
+
+
+def _merged_saves(spark, d):
     path = scratch_dir(spark, "saves")
-    saves = V.save_requests(_stream(spark, d, "documents"))
-    S.finish(S.ingest_saves(saves, path))
-    return S.ingested_catalogue(spark, path).select(
-        *KEY, "seq", "code_hash", "verification_status", "version")
+    store = saves.save_store(spark, path, buckets=16, compact_after=3)
+    S.finish(saves.ingest_saves(V.save_requests(_arrivals(spark, d)), store, f"{path}/checkpoint"))
+    return store
+
+
+_ADMITTED = """
+    SELECT *, count(*) OVER (PARTITION BY project, name ORDER BY seq) AS n,
+           lead(ts) OVER (PARTITION BY project, name ORDER BY seq) AS next_ts,
+           min(ts) OVER (PARTITION BY project, name) AS first_ts
+    FROM (SELECT * FROM save_log QUALIFY row_number() OVER (
+            PARTITION BY project, code_hash ORDER BY seq) = 1)"""
+
+
+@query("stream_save_ingest", with_views(f"""
+    SELECT project, name, seq, code_hash, description, 'pending' AS verification_status,
+           CAST(n AS INTEGER) AS version, 0::BIGINT AS call_count,
+           {stamp('first_ts')} AS created_at, {stamp('ts')} AS updated_at
+    FROM ({_ADMITTED}) WHERE next_ts IS NULL""", "save_log"))
+def stream_save_ingest(spark, d):
+    """The stored catalogue after several micro-batches were merged into its buckets."""
+    rows = _merged_saves(spark, d).read("current")
+    return rows.select(
+        *KEY, "seq", "code_hash", "description", "verification_status", "version", "call_count",
+        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("created_at", "updated_at")])
+
+
+@query("stream_save_history", with_views(f"""
+    SELECT project, name, seq, code_hash, CAST(n AS INTEGER) AS version,
+           {stamp('next_ts')} AS archived_at
+    FROM ({_ADMITTED}) WHERE next_ts IS NOT NULL""", "save_log"))
+def stream_save_history(spark, d):
+    """Rows that merged micro-batches have replaced."""
+    rows = _merged_saves(spark, d).read("history")
+    return rows.select(*KEY, "seq", "code_hash", "version", F.date_format(
+        "archived_at", "yyyy-MM-dd HH:mm:ss").alias("archived_at"))
 
 
 @query("stream_replay", REPLAY_SQL)

@@ -1,4 +1,4 @@
-"""Streams of saves, calls and verdicts into the catalogue.
+"""Streams of calls, verdicts and exactly replayed saves (``saves`` merges saves).
 
 Every sink is an append-only table with one folder per micro-batch. A batch that
 runs again after a failure writes the same folder again, so each row counts once.
@@ -6,7 +6,7 @@ runs again after a failure writes the same folder again, so each row counts once
 
 from pyspark.sql import DataFrame, functions as F
 
-from stacklore.operators.catalogue import HASH, KEY, current_state, verdict_merge
+from stacklore.operators.catalogue import KEY, verdict_merge
 from stacklore.operators.replay import ACCEPTED, replay_saves
 from stacklore.session import cut_lineage
 
@@ -33,30 +33,6 @@ def finish(query):
         query.stop()
 
 
-# ---- saves: first seen per (project, hash) -----------------------------------
-
-SAVE_FIELDS = ["seq", "name", "ts", "language"]
-
-
-def ingest_saves(saves: DataFrame, path, trigger=None):
-    """Admit the first save of every (project, hash).
-
-    Streaming state holds one small row per hash, no text, and survives restarts.
-    It never expires: a copy is a copy however late it comes.
-    """
-    first = saves.groupBy(*HASH).agg(
-        F.min_by(F.struct(*SAVE_FIELDS), "seq").alias("save"))
-    return _start(first, "update", _append(f"{path}/rows"), f"{path}/checkpoint", trigger)
-
-
-def ingested_catalogue(spark, path) -> DataFrame:
-    """Current rows of the admitted saves, all pending."""
-    rows = spark.read.parquet(f"{path}/rows")
-    admitted = rows.groupBy(*HASH).agg(F.min_by("save", "save.seq").alias("save")).select(
-        "project", "code_hash", "save.*")
-    return current_state(admitted).withColumn("verification_status", F.lit("pending"))
-
-
 # ---- saves: exact replay -------------------------------------------------------
 
 HELD = "project string, name string, code_hash string, seq long"

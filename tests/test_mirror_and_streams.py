@@ -9,7 +9,7 @@ from stacklore.operators import catalogue as C
 from stacklore.operators.replay import replay_saves
 from stacklore.plans import views as V
 from stacklore.sources import ci, mirror
-from stacklore.streaming import ingest as S
+from stacklore.streaming import ingest as S, saves
 
 ASSET = ("project string, name string, code string, description string, language string, "
          "tags array<string>")
@@ -134,10 +134,12 @@ def test_streamed_replay_refuses_late_saves(spark, tmp_path):
 
 def test_streamed_saves_calls_and_verdicts_over_several_batches(spark, sf_dir, tmp_path):
     log = V.save_log(spark, sf_dir).select(*SAVES.replace(",", "").split()[0::2])
-    S.finish(S.ingest_saves(write_in_order(spark, log, str(tmp_path / "in"), 3), str(tmp_path / "s")))
+    store = saves.save_store(spark, str(tmp_path / "s"), buckets=4)
+    S.finish(saves.ingest_saves(write_in_order(spark, log, str(tmp_path / "in"), 3), store,
+                                str(tmp_path / "check")))
     first = C.dedupe_first_seen(log).where("accepted").drop("accepted", "duplicate_of")
     expected = C.current_state(first).select("project", "name", "seq", "version")
-    got = S.ingested_catalogue(spark, str(tmp_path / "s")).select("project", "name", "seq", "version")
+    got = store.read("current").select("project", "name", "seq", "version")
     assert sorted(got.collect()) == sorted(expected.collect())
 
     events = V.user_asset_events(spark, sf_dir, None, "click", "purchase", "error")
