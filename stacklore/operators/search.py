@@ -8,13 +8,13 @@ hit; an asset found both ways takes the larger.
 from pyspark.sql import DataFrame, functions as F
 
 from stacklore import constants as K
+from stacklore.functions.pieces import code_bits, text_pieces
 from stacklore.functions.text import wants_generation
 from stacklore.operators.catalogue import KEY, has_all_tags
 from stacklore.operators.vectors import knn, top_k
 from stacklore.session import cut_lineage
 
-GRAM = 3
-FEW_TEXTS = 4096
+SAMPLED = 64
 _FILTERS = ["text", "project", "language", "tags"]
 
 
@@ -44,41 +44,93 @@ def route_tags(queries: DataFrame) -> DataFrame:
     ).withColumn("text", F.when(~is_tag, F.col("text")))
 
 
-def _grams(text, size):
-    # A look-ahead yields overlapping pieces in one pass over the text.
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+def _described(catalogue):
+    return F.lower(F.concat_ws("\0", "name", "description"))
 
 
-def _text_keys(specs):
-    """How query texts are probed: (key of a query text, keys of an asset text, exact).
+def piece_postings(catalogue: DataFrame, bits=None) -> DataFrame:
+    """(project, name, piece) for the pieces of each asset's text, or those in ``bits``.
 
-    Up to ``FEW_TEXTS`` distinct texts are looked for one by one in each asset,
-    and the key is the text itself. Beyond that the key is the first letters of
-    the text, and an asset offers all its pieces of that length.
+    Written as a table it is the index that ``keyword_matches`` can be given; without one
+    the postings of the pieces in question are made as the texts are read.
     """
-    texts = specs.where("length(q_text) > 0").select(F.lower("q_text").alias("text"))
-    texts = texts.distinct()
-    count, letters = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
-    if count <= FEW_TEXTS and (letters or 0) <= FEW_TEXTS * 64:
-        few = [r[0] for r in texts.collect()]
-        wanted = F.array(F.lit(None).cast("string"), *[F.lit(t) for t in few])
-
-        # The outer transform binds the asset text, so it is built once per row.
-        return F.lower("q_text"), lambda asset: F.flatten(F.transform(
-            F.array(asset), lambda x: F.filter(wanted, lambda t: x.contains(t)))), True
-    sizes = [r[0] for r in texts.select(
-        F.least(F.length("text"), F.lit(GRAM))).distinct().collect()]  # at most GRAM values
-    return F.left(F.lower("q_text"), F.lit(GRAM)), lambda asset: F.array_distinct(F.concat(
-        *[_grams(asset, n) for n in sizes])), False
-
-
-def keyword_matches(queries: DataFrame, catalogue: DataFrame, k) -> DataFrame:
+    return text_pieces(catalogue.select(*KEY, _described(catalogue).alias("text")), KEY, "text", bits)
+
+
+def _postings(catalogue, index, pieces):
+    """The postings of these pieces, a table of narrow rows."""
+    if index is not None:
+        return index.join(pieces, "piece", "left_semi")
+    # At most as many numbers as there are pieces, sent as a set of fixed size.
+    found = pieces.toArrow().column("piece").to_numpy()
+    return piece_postings(catalogue, code_bits(found))
+
+
+def _text_hits(specs, catalogue, index):
+    """(spec, project, name) of the assets that hold the spec's text and fit its filters.
+
+    Each text asks for its rarest piece in the postings, as narrow rows; the assets that
+    have it are then met by key, where the whole text is looked for. Frequencies come from
+    one in ``SAMPLED`` assets by hash: they choose the piece and so the cost, as every hit
+    has all pieces of the text. Frequent pieces are keys of a plain join, which the skew
+    join splits.
+    """
+    specs = specs.withColumn("needle", F.lower("q_text"))
+    pieces = cut_lineage(text_pieces(specs, ["spec"], "needle", whole=True), "pieces")
+    sample = F.pmod(F.xxhash64(*KEY), F.lit(SAMPLED)) == 0
+    common = _postings(
+        catalogue.where(sample), index if index is None else index.where(sample),
+        pieces.select("piece").distinct()).groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = pieces.join(common, "piece", "left").groupBy("spec").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("least"))
+    wanted = cut_lineage(specs.join(rarest, "spec").select(
+        "spec", "least.piece", "needle", *[f"q_{c}" for c in _FILTERS[1:]]), "asked")
+    rows = _postings(catalogue, index, wanted.select("piece").distinct())
+    found = cut_lineage(rows.join(wanted, "piece").where(
+        F.col("q_project").isNull() | (F.col("q_project") == F.col("project"))).drop("piece"),
+        "candidates")
+    texts = catalogue.select(*KEY, "language", "tags", _described(catalogue).alias("_described"))
+    return found.join(texts, KEY).where(
+        F.col("_described").contains(F.col("needle")) & _fits()).select("spec", *KEY)
+
+
+def _fits():
+    """Whether an asset (project, language, tags) passes the filters q_project, ..."""
+    return (
+        F.col("q_project").isNull() | (F.col("q_project") == F.col("project"))
+    ) & (
+        F.col("q_language").isNull() | (F.lower("q_language") == F.lower("language"))
+    ) & (
+        F.col("q_tags").isNull() | (F.size(F.array_except(
+            F.transform("q_tags", F.lower), F.transform("tags", F.lower))) == 0)
+    )
+
+
+def _filter_hits(specs, catalogue):
+    """(spec, project, name) for specs without a text, met by their first filter value."""
+    specs = specs.withColumn("q_probe", F.coalesce(
+        F.when(F.length("q_project") > 0, F.concat(F.lit("project:"), "q_project")),
+        F.when(F.length("q_language") > 0, F.concat(F.lit("language:"), F.lower("q_language"))),
+        F.concat(F.lit("tag:"), F.lower(F.get("q_tags", 0)))))
+    keys = F.concat(
+        F.array(F.concat(F.lit("project:"), "project"),
+                F.concat(F.lit("language:"), F.lower("language"))),
+        F.transform(F.array_distinct(F.transform("tags", F.lower)),
+                    lambda t: F.concat(F.lit("tag:"), t)),
+    )
+    # Plain explode would add a filter that works the keys out a second time.
+    offered = catalogue.select(*KEY, "language", "tags", keys.alias("_keys")).withColumn(
+        "q_probe", F.explode_outer("_keys")).drop("_keys")
+    return offered.join(specs, "q_probe").where(_fits()).select("spec", *KEY)
+
+
+def keyword_matches(queries: DataFrame, catalogue: DataFrame, k, index=None) -> DataFrame:
     """Best k keyword hits per query, as (query_id, project, name, similarity).
 
-    Equal filters are evaluated once. Each distinct filter asks for one probe
-    key, from its text or else a filter value; assets offer the keys they have,
-    so the two meet in an equi-join of narrow rows and not in a cross join. Each
-    task keeps its best k before the last shuffle.
+    Equal filters are evaluated once. Texts are found by their rarest piece, in ``index`` (the
+    stored ``piece_postings`` of the catalogue) or in the catalogue itself, other filters by
+    one of their values, so queries and assets meet in equi-joins of narrow rows and not in a
+    cross join. Each task keeps its best k before the last shuffle.
     """
     text, project, language, tags = (F.col(c) for c in _FILTERS)
     spec = F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in (
@@ -89,42 +141,12 @@ def keyword_matches(queries: DataFrame, catalogue: DataFrame, k) -> DataFrame:
     # Written out, its size is known, and a small one is broadcast to the assets.
     specs = cut_lineage(asked.groupBy("spec").agg(
         *[F.any_value(c).alias(f"q_{c}") for c in _FILTERS]), "specs")
-    text_key, asset_keys, exact = _text_keys(specs)
-    specs = specs.withColumn("q_probe", F.coalesce(
-        F.when(F.length("q_text") > 0, F.concat(F.lit("text:"), text_key)),
-        F.when(F.length("q_project") > 0, F.concat(F.lit("project:"), "q_project")),
-        F.when(F.length("q_language") > 0, F.concat(F.lit("language:"), F.lower("q_language"))),
-        F.concat(F.lit("tag:"), F.lower(F.get("q_tags", 0)))))
-
-    described = F.lower(F.concat_ws("\0", "name", "description"))
-    tag_keys = F.array_distinct(F.transform("tags", F.lower))
-    keys = F.concat(
-        F.transform(asset_keys(described), lambda g: F.concat(F.lit("text:"), g)),
-        F.array(F.concat(F.lit("project:"), "project"),
-                F.concat(F.lit("language:"), F.lower("language"))),
-        F.transform(tag_keys, lambda t: F.concat(F.lit("tag:"), t)),
-    )
-    # Plain explode would add a filter that works the keys out a second time.
-    offered = catalogue.select(
-        *KEY, F.lower("language").alias("language"), tag_keys.alias("tags"), keys.alias("_keys")
-    ).withColumn("q_probe", F.explode_outer("_keys")).drop("_keys")
-    fits = (
-        F.col("q_project").isNull() | (F.col("q_project") == F.col("project"))
-    ) & (
-        F.col("q_language").isNull() | (F.lower("q_language") == F.col("language"))
-    ) & (
-        F.col("q_tags").isNull() | (F.size(F.array_except(
-            F.transform("q_tags", F.lower), "tags")) == 0)
-    )
-    hits = offered.join(specs, "q_probe").where(fits).select("spec", "q_text", *KEY)
-    if not exact:
-        needle = F.lower("q_text")
-        texts = catalogue.select(*KEY, described.alias("_described"))
-        hits = hits.join(texts, KEY).where(
-            (F.coalesce(F.length("q_text"), F.lit(0)) == 0)
-            | F.col("_described").contains(needle))
-    hits = hits.select("spec", *KEY, F.lit(K.KEYWORD_SIMILARITY).alias("similarity"))
-    best = top_k(hits, k, by=("spec",)).drop("rank")
+    has_text = F.coalesce(F.length("q_text") > 0, F.lit(False))
+    hits = _text_hits(specs.where(has_text), catalogue, index)
+    if not specs.where(~has_text).isEmpty():
+        hits = hits.unionByName(_filter_hits(specs.where(~has_text), catalogue))
+    best = top_k(hits.withColumn("similarity", F.lit(K.KEYWORD_SIMILARITY)), k,
+                 by=("spec",)).drop("rank")
     return asked.select("query_id", "spec").join(best, "spec").drop("spec")
 
 

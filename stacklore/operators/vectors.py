@@ -20,6 +20,8 @@ QUERY_BLOCK_ROWS = 4096
 SENT_QUERY_BYTES = 32 * 1024 * 1024
 MERGE_ROWS = 500_000
 MAX_PIVOTS = 1024
+SAMPLE_PER_PIVOT, SAMPLE_ROUNDS = 16, 4
+LEADING_SHARE = 4
 _PRODUCT_CELLS = 8_000_000
 MATCHES = "query_id long, project string, name string, similarity double"
 
@@ -183,12 +185,14 @@ def near_duplicate_pairs(vectors: DataFrame, threshold, pivots=None,
     """Pairs of a project whose cosine reaches ``threshold``, a before b.
 
     Equal vectors are folded first: each copy is paired with the first of its
-    group, and only the firsts are compared. They are placed with their nearest
-    pivot. By the triangle inequality a partner within distance e of x lies in a
-    cell whose pivot is at most 2e further from x than x's own, so x also
-    visits those cells of higher number and every pair is met exactly once,
-    with no pair missed. Cells are cut into blocks that meet in a grid. There is
-    one pivot per block of rows, up to a fixed number.
+    group, and only the firsts are compared. They lie in the cell of the centre c
+    with the largest product. With x in the cell of h and y in that of c,
+    (x - y)(h - c) is at least xh - xc, so a pair no further apart than e needs
+    xh - xc <= e |h - c|: x also visits those cells of higher number, every pair is
+    met exactly once, and none is missed. Cells are cut into blocks that meet in
+    a grid, one centre per block of rows up to a fixed number. In a block the
+    products of the leading coordinates come first, and only pairs that reach the
+    threshold with the norms of their other coordinates are multiplied out.
     """
     vectors = vectors.select(*KEY, "embedding")
     firsts = cut_lineage(vectors.groupBy("project", "embedding").agg(
@@ -203,36 +207,63 @@ def near_duplicate_pairs(vectors: DataFrame, threshold, pivots=None,
     return copies.unionByName(_close_pairs(distinct, threshold, pivots, block_rows))
 
 
-def _close_pairs(units, threshold, pivots, block_rows):
-    spark = units.sparkSession
-    if pivots is None:
-        pivots = min(MAX_PIVOTS, max(1, units.count() // block_rows))
-    # Any unit vectors serve as pivots; these are spread by their hash.
-    rows = units.orderBy(F.xxhash64("name", "project")).limit(pivots).select("embedding").collect()
+def _centres(units, count):
+    """``count`` centres at most, and the coordinates in falling order of their energy.
+
+    Any centres give the right pairs. These follow the data: a few rounds of means on a
+    sample of fixed size per centre, the rows with the smallest hashes.
+    """
+    rows = units.orderBy(F.xxhash64("name", "project")).limit(
+        count * SAMPLE_PER_PIVOT).select("embedding").collect()
     if not rows:
-        return spark.createDataFrame([], PAIRS)
-    centres = spark.sparkContext.broadcast(np.array([r[0] for r in rows], dtype="float64"))
+        return None, None
+    sample = np.array([r[0] for r in rows], dtype="float64")
+    centres = sample[:count].copy()
+    for _ in range(SAMPLE_ROUNDS):
+        home = (sample @ centres.T).argmax(axis=1)
+        for c in np.unique(home):
+            mean = sample[home == c].mean(axis=0)
+            norm = np.linalg.norm(mean)
+            if norm > 0:
+                centres[c] = mean / norm
+    return centres, np.argsort(-(sample ** 2).sum(axis=0), kind="stable")
+
+
+def placed_vectors(units, centres, threshold) -> DataFrame:
+    """Units with ``home``, the number of their cell, and ``visits``, the others they enter."""
+    spark = units.sparkSession
+    centres = spark.sparkContext.broadcast(centres)
     # Similarities are rounded, so allow for half a digit more.
-    reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * (threshold - 10.0 ** -DIGITS)))) + 1e-9
+    reach = float(np.sqrt(max(0.0, 2 - 2 * (threshold - 10.0 ** -DIGITS))))
 
     def place(batches):
+        c = centres.value
+        apart = np.sqrt(np.maximum(0, (c ** 2).sum(1)[:, None] + (c ** 2).sum(1) - 2 * c @ c.T))
         for batch in batches:
             if not len(batch):
                 continue
-            cosine = np.clip(_matrix(batch["embedding"]) @ centres.value.T, -1, 1)
-            distance = np.sqrt(np.maximum(0, 2 - 2 * cosine))
-            home = distance.argmin(axis=1)
-            limit = distance[np.arange(len(batch)), home] + reach
-            near = distance <= limit[:, None]
-            near &= np.arange(len(centres.value))[None, :] > home[:, None]
+            product = _matrix(batch["embedding"]) @ c.T
+            home = product.argmax(axis=1)
+            less = product[np.arange(len(batch)), home][:, None] - product
+            near = less <= reach * apart[home] + 1e-9
+            near &= np.arange(len(c))[None, :] > home[:, None]
             batch["home"] = home.astype("int32")
             batch["visits"] = [np.flatnonzero(r).astype("int32") for r in near]
             yield batch
 
+    return units.mapInPandas(
+        place, "project string, name string, embedding array<double>, home int, visits array<int>")
+
+
+def _close_pairs(units, threshold, pivots, block_rows):
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, max(1, units.count() // block_rows))
+    centres, order = _centres(units, pivots)
+    if centres is None:
+        return units.sparkSession.createDataFrame([], PAIRS)
+
     # Written once: the vectors are read from here by every step below.
-    placed = cut_lineage(units.mapInPandas(
-        place, "project string, name string, embedding array<double>, home int, "
-               "visits array<int>"), "placed")
+    placed = cut_lineage(placed_vectors(units, centres, threshold), "placed")
     sizes = placed.groupBy("project", "home").agg(
         F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
     sized = placed.join(sizes, ["project", "home"]).withColumn(
@@ -261,10 +292,10 @@ def _close_pairs(units, threshold, pivots, block_rows):
     lower = F.lit(threshold)
 
     def residents_pairs(group):
-        return _pairs(group, group, threshold, same=True)
+        return _pairs(group, group, threshold, order, same=True)
 
     def guest_pairs(left, right):
-        return _pairs(left, right, threshold, same=False)
+        return _pairs(left, right, threshold, order, same=False)
 
     at = ["project", "cell", "block"]
     own = residents.groupBy(*at).applyInPandas(residents_pairs, PAIRS)
@@ -280,19 +311,40 @@ def _close_pairs(units, threshold, pivots, block_rows):
     return own.unionByName(across).where(F.col("similarity") >= lower)
 
 
-def _pairs(left, right, threshold, same):
+def close_scores(a, b, threshold, order):
+    """(i, j, rounded product) of the rows of two unit matrices that reach the threshold.
+
+    By Cauchy and Schwarz a product is at most that of the leading coordinates plus the
+    product of the norms of the rest; where few pairs pass this, only they are multiplied out.
+    """
+    lead, rest = order[:len(order) // LEADING_SHARE], order[len(order) // LEADING_SHARE:]
+    most = a[:, lead] @ b[:, lead].T + np.linalg.norm(a[:, rest], axis=1)[:, None] * \
+        np.linalg.norm(b[:, rest], axis=1)[None, :]
+    i, j = np.nonzero(most >= threshold - 10.0 ** -DIGITS)
+    if len(i) > most.size // 8:
+        scores = np.rint(a @ b.T * 10**DIGITS) / 10**DIGITS
+        i, j = np.nonzero(scores >= threshold)
+        return i, j, scores[i, j]
+    scores = np.zeros(len(i))
+    for at in range(0, len(i), 65536):
+        part = slice(at, at + 65536)
+        scores[part] = np.einsum("rd,rd->r", a[i[part]], b[j[part]])
+    scores = np.rint(scores * 10**DIGITS) / 10**DIGITS
+    close = scores >= threshold
+    return i[close], j[close], scores[close]
+
+
+def _pairs(left, right, threshold, order, same):
     out = []
     if len(left) and len(right):
         a, b = _matrix(left["embedding"]), _matrix(right["embedding"])
         names_a, names_b = left["name"].to_numpy(), right["name"].to_numpy()
         step = max(1, _PRODUCT_CELLS // len(b))
         for start in range(0, len(a), step):
-            scores = np.rint(a[start:start + step] @ b.T * 10**DIGITS) / 10**DIGITS
-            close = scores >= threshold
+            i, j, scores = close_scores(a[start:start + step], b, threshold, order)
             if same:
-                close &= np.arange(len(b))[None, :] > np.arange(
-                    start, start + len(scores))[:, None]
-            i, j = np.nonzero(close)
+                once = j > start + i
+                i, j, scores = i[once], j[once], scores[once]
             first, second = names_a[start + i], names_b[j]
             swap = first > second
             out.append(pd.DataFrame({
@@ -300,7 +352,7 @@ def _pairs(left, right, threshold, same):
                 "name_a": np.where(swap, second, first),
                 "project_b": left["project"].iloc[0],
                 "name_b": np.where(swap, first, second),
-                "similarity": scores[i, j],
+                "similarity": scores,
             }))
     return pd.concat(out) if out else pd.DataFrame(
         columns=["project_a", "name_a", "project_b", "name_b", "similarity"])

@@ -117,6 +117,29 @@ def keyword_search(spark, d):
     return search.keyword_matches(_queries(spark, d), V.assets_flat(spark, d), K)
 
 
+def _phrases(documents):
+    """The third and fourth word of every tenth document, as a text to look for."""
+    words = F.split("text", " ")
+    return documents.where((F.col("doc_id") % 10 == 0) & (F.size(words) >= 4)).select(
+        F.col("doc_id").alias("query_id"), F.array_join(F.slice(words, 3, 2), " ").alias("text"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("project", "string"), ("language", "string"), ("tags", "array<string>"))])
+
+
+@query("keyword_batch", with_views("""
+    SELECT q.query_id, a.project, a.name, 0.9::DOUBLE AS similarity
+    FROM (SELECT doc_id AS query_id, lower(w[3] || ' ' || w[4]) AS t
+          FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
+          WHERE doc_id % 10 = 0 AND len(w) >= 4 AND w[3] || ' ' || w[4] <> '') q
+    JOIN assets_flat a ON contains(lower(a.name), q.t) OR contains(lower(a.description), q.t)
+    QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY a.project, a.name) <= 5""",
+    "assets_flat"))
+def keyword_batch(spark, d):
+    """As many texts as a tenth of the assets, against all of them."""
+    return search.keyword_matches(
+        _phrases(V.table(spark, d, "documents")), V.assets_flat(spark, d), K)
+
+
 @query("tag_query", with_views("""
     SELECT q.query_id, a.project, a.name, 0.9::DOUBLE AS similarity
     FROM (SELECT query_id, CASE query_id % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'fr' ELSE 'src3' END

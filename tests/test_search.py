@@ -116,11 +116,15 @@ HITS = {1: ["normalize_args", "x"], 2: ["percent"], 3: ["normalize_args"], 4: ["
         10: ["other"]}
 
 
-@pytest.mark.parametrize("few", [64, 0])
-def test_keyword_search_is_literal_and_filtered(spark, monkeypatch, few):
-    monkeypatch.setattr(search, "FEW_TEXTS", few)  # 0 = by pieces of the text
-    queries = search.route_tags(spark.createDataFrame(ASKS, QUERY))
-    found = search.keyword_matches(queries, spark.createDataFrame(ASSETS, ASSET), 5).collect()
+@pytest.mark.parametrize("stored", [False, True])
+def test_keyword_search_is_literal_and_filtered(spark, tmp_path, stored):
+    queries, assets = search.route_tags(spark.createDataFrame(ASKS, QUERY)), spark.createDataFrame(
+        ASSETS, ASSET)
+    index = None
+    if stored:
+        search.piece_postings(assets).write.parquet(str(tmp_path / "index"))
+        index = spark.read.parquet(str(tmp_path / "index"))
+    found = search.keyword_matches(queries, assets, 5, index).collect()
     got = {}
     for r in found:
         got.setdefault(r["query_id"], []).append(r["name"])
@@ -144,3 +148,66 @@ def test_hybrid_takes_the_larger_similarity(spark):
     got = search.hybrid_search(queries, assets, held, 3).orderBy("rank").collect()
     assert [(r["name"], r["similarity"]) for r in got] == [
         ("normalize_args", 1.0), ("x", 0.9), ("percent", 0.707107)]
+
+
+def test_many_odd_texts_equal_brute_force(spark, monkeypatch):
+    import random
+
+    from stacklore.functions import pieces
+
+    monkeypatch.setattr(pieces, "SLICE_BYTES", 64)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ab\u00e9\u00c9\U0001f600% _\n") for _ in range(rng.randint(0, 9)))
+    assets = [asset(f"n{i}", rng.choice([word() + word(), None, "", "hot text"])) for i in range(120)]
+    assets.append(asset("long", "x" * 5000 + "needle" + "y" * 5000))
+    texts = [word() for _ in range(80)] + ["needle", "hot", "\u00e9", "t", "xy", "N1", None, "", "ot te"]
+    found = search.keyword_matches(
+        spark.createDataFrame([ask(i, t) for i, t in enumerate(texts)], QUERY),
+        spark.createDataFrame(assets, ASSET), 1000).collect()
+    lowered = [(a[1], (a[1] + "\0" + a[2] if a[2] is not None else a[1]).lower()) for a in assets]
+    expected = [(i, n) for i, t in enumerate(texts) if t for n, x in lowered if t.lower() in x]
+    assert sorted((r["query_id"], r["name"]) for r in found) == sorted(expected)
+
+
+def test_texts_meet_no_cross_join(spark):
+    found = search.keyword_matches(spark.createDataFrame(ASKS, QUERY),
+                                   spark.createDataFrame(ASSETS, ASSET), 5)
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("block", [64, 8192])
+def test_near_duplicates_of_clustered_vectors_meet_few_others(spark, block):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    units = np.vstack([c + 0.25 * rng.normal(size=(30, 64)) for c in centres])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    rows = [("p", f"v{i:04}", [float(x) for x in u]) for i, u in enumerate(units)]
+    df = vectors(spark, rows)
+    got = N.near_duplicate_pairs(df, 0.9, 64, block).collect()
+    scores = np.round(units @ units.T, 6)
+    expected = {(f"v{i:04}", f"v{j:04}") for i, j in zip(*np.nonzero(np.triu(scores >= 0.9, 1)))}
+    assert expected and {(r["name_a"], r["name_b"]) for r in got} == expected and len(got) == len(expected)
+    # Pairs that come together at all: in a cell, or as a visitor and a resident of its cell.
+    centres, _ = N._centres(df, 64)
+    placed = N.placed_vectors(df, centres, 0.9).collect()
+    sizes = {}
+    for r in placed:
+        sizes[r["home"]] = sizes.get(r["home"], 0) + 1
+    met = sum(n * (n - 1) // 2 for n in sizes.values()) + sum(
+        sizes.get(c, 0) for r in placed for c in r["visits"])
+    assert met < 0.1 * len(units) * (len(units) - 1) / 2
+
+
+def test_leading_coordinates_leave_few_products(monkeypatch):
+    units = random_units(7, 600, 64)
+    order = np.arange(64)
+    lead, rest = order[:16], order[16:]
+    most = units[:, lead] @ units[:, lead].T + np.outer(*[np.linalg.norm(units[:, rest], axis=1)] * 2)
+    assert (most >= 0.9).mean() < 0.1
+    near = np.vstack([units, units[:5] + 0.01])
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    for threshold in (0.9, 0.3):
+        i, j, s = N.close_scores(near, near, threshold, order)
+        full = np.rint(near @ near.T * 1e6) / 1e6
+        assert {*zip(i, j)} == {*zip(*np.nonzero(full >= threshold))} and np.allclose(s, full[i, j])
