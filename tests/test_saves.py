@@ -154,3 +154,49 @@ def test_tags_match_in_any_case_and_all_must_match(spark):
 def test_null_and_empty_projects_are_the_default_one(spark):
     rows = spark.createDataFrame([(None,), ("",), ("p",)], "project string")
     assert [r[0] for r in C.scan(rows).collect()] == ["default", "default", "p"]
+
+
+def one_by_one(rows):
+    holds, out = {}, {}
+    for p, n, h, seq in sorted(rows, key=lambda r: r[3]):
+        held = {x for (q, _), x in holds.items() if q == p}
+        out[seq] = "rejected" if h in held else "accepted"
+        if h not in held:
+            holds[p, n] = h
+    return out
+
+
+def test_a_chain_across_200_hashes_settles_in_one_pass(spark, monkeypatch):
+    from stacklore.operators import replay
+
+    # Name k saves hash k + 1, then k, which the name before has just left.
+    rows = [("p", f"n{k}", f"h{k}", 2 * k) for k in range(200)]
+    rows += [("p", f"n{k}", f"h{k + 1}", 2 * (k + 200) + 1) for k in range(199, -1, -1)]
+    rows += [("q", f"n{k % 3}", f"h{k % 2}", 1000 + k) for k in range(20)]
+    passes = []
+    fold = replay._folded
+    monkeypatch.setattr(replay, "_folded", lambda g: passes.append(1) or fold(g))
+    decided = statuses(replay_saves(spark.createDataFrame(rows, LOG)))
+    assert decided == one_by_one(rows) and len(passes) == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_cut_by_time_agree_with_one_save_after_the_other(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice("pq"), f"n{rng.randint(0, 5)}", f"h{rng.randint(0, 7)}", k) for k in range(90)]
+    rows += [("alone", "n", f"h{k // 2}", 500 + k) for k in range(6)]
+    decided = statuses(replay_saves(spark.createDataFrame(rows, LOG), width=9, fold_rows=12))
+    assert decided == one_by_one(rows)
+
+
+def test_connected_groups_of_paths_stars_and_pairs(spark):
+    from stacklore.operators.links import connected
+
+    rng = random.Random(4)
+    names = rng.sample(range(-10**6, 10**6), 600)
+    links = [(names[i], names[i + 1]) for i in range(299)]
+    links += [(names[300], names[i]) for i in range(301, 500)] + [(names[i], names[i + 1]) for i in range(500, 600, 2)]
+    got = {r["node"]: r["group"] for r in connected(
+        spark.createDataFrame(links + links[:5], "a long, b long"), rounds=9).collect()}
+    parts = [names[:300], names[300:500]] + [names[i:i + 2] for i in range(500, 600, 2)]
+    assert got == {n: min(p) for p in parts for n in p}
