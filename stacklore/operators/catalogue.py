@@ -209,9 +209,17 @@ def delete_and_archive(catalogue: DataFrame, keys: DataFrame, stamp):
 
 
 def verdict_merge(catalogue: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Set status, report, reliability and time; a field not given stays."""
+    """Set status, report, reliability and time; a field not given stays.
+
+    Of several verdicts for a key the latest by ``updated_at`` counts, and of equal times the
+    one whose plain fields come last in order.
+    """
     given = [c for c in verdicts.columns if c not in KEY]
-    new = verdicts.select(*KEY, *[F.col(c).alias(f"_new_{c}") for c in given])
+    plain = [c for c, t in verdicts.dtypes if c in given and c != "updated_at"
+             and not t.startswith(("map", "variant", "array", "struct"))]
+    latest = verdicts.groupBy(*KEY).agg(F.max_by(F.struct(*given), F.struct(
+        *[c for c in given if c == "updated_at"], *plain)).alias("_new"))
+    new = latest.select(*KEY, *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in given])
     joined = catalogue.join(new, KEY, "left")
     for c in given:
         joined = joined.withColumn(

@@ -302,8 +302,9 @@ def undeclared_imports(imports: DataFrame, stdlib: DataFrame, declared: DataFram
                        local=None) -> DataFrame:
     """Score of each asset by its imports that nothing declares.
 
-    ``imports``: asset_id, module. The lists of names may be large; the optimizer
-    decides by their size how to join them.
+    ``imports``: asset_id, module; an asset without imports has a row without a module and
+    scores 100. The lists of names may be large; the optimizer decides by their size how to
+    join them.
     """
     top = F.substring_index("module", ".", 1)
     package = F.replace(F.lower(top), F.lit("_"), F.lit("-"))

@@ -200,3 +200,28 @@ def test_connected_groups_of_paths_stars_and_pairs(spark):
         spark.createDataFrame(links + links[:5], "a long, b long"), rounds=9).collect()}
     parts = [names[:300], names[300:500]] + [names[i:i + 2] for i in range(500, 600, 2)]
     assert got == {n: min(p) for p in parts for n in p}
+
+
+def test_of_several_verdicts_for_a_key_the_latest_counts(spark):
+    catalogue = spark.createDataFrame(
+        [("p", "f", "pending", None), ("p", "g", "pending", None)],
+        "project string, name string, verification_status string, updated_at timestamp")
+    verdicts = spark.sql("""
+        SELECT 'p' AS project, 'f' AS name, s AS verification_status, t AS updated_at,
+               map('note', s) AS report
+        FROM VALUES ('verified', timestamp'2024-01-02'), ('failed', timestamp'2024-01-01'),
+                    ('failed', timestamp'2024-01-02') AS v(s, t)""")
+    got = C.verdict_merge(catalogue, verdicts).orderBy("name").collect()
+    assert [(r["name"], r["verification_status"], r["report"]) for r in got] == [
+        ("f", "verified", {"note": "verified"}), ("g", "pending", None)]
+
+
+def test_assets_without_imports_have_nothing_undeclared(spark):
+    from stacklore.operators import scoring
+
+    imports = spark.createDataFrame([(1, None), (2, "os.path"), (2, "ghost.sub"), (2, "ghost.sub")],
+                                    "asset_id long, module string")
+    names = spark.createDataFrame([("os",)], "module string")
+    got = scoring.undeclared_imports(imports, names, names.select(F.lit("x").alias("package")))
+    assert {r["asset_id"]: (r["missing"], r["score"]) for r in got.collect()} == {
+        1: ([], 100.0), 2: (["ghost.sub"], 70.0)}
