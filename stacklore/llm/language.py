@@ -28,10 +28,16 @@ ALPHABET = 64
 ORDER = 3
 PER_LANG = 400
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+# Word signs that are no decimal digit; those among them that are numbers are no letters.
+_LETTERS = re.compile(r"[^\W\d_]+")
 CHUNK = 1 << 20
 
 
+def has_letter(text):
+    """Whether a sign of the text is a letter; fractions and raised numbers are none."""
+    return any(any(map(str.isalpha, run.group())) for run in _LETTERS.finditer(text))
+
+
 def _symbols(text, table):
     """Symbols of a text that starts in a context of spaces."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -186,7 +192,7 @@ def predict(docs, model) -> DataFrame:
         for batch in batches:
             names, scores = [], []
             for text in batch.column("text").to_pylist():
-                if model is None or not text or not _LETTER.search(text):
+                if model is None or not text or not has_letter(text):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
