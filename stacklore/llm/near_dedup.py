@@ -329,9 +329,10 @@ def near_duplicates(docs, threshold=THRESHOLD, shingle=SHINGLE) -> DataFrame:
     alone = rows.filter("n_shingles = 0").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     # Rows of one id with several texts belong together through that id.
-    shared = named.filter("doc_id <> node").select(
-        F.col("doc_id").alias("a"), F.col("node").alias("b")).join(
-        nodes.select(F.col("node").alias("a")), "a", "left_semi")
+    several = named.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
+    shared = named.join(several, "doc_id").select("a", F.col("node").alias("b")).filter(
+        "a <> b").distinct()
     shared = cut_lineage(shared, "near-shared")
     if not shared.isEmpty():
         labels = components(links.unionByName(shared))
