@@ -1,6 +1,6 @@
 """Near duplicates: SetSketch registers, banded, estimated by likelihood, then verified.
 
-A document is the set of its distinct 3-word shingles, A-Z folded. Every shingle gives
+A document is the set of its distinct shingles (3 words, an argument), A-Z folded. Every shingle gives
 exponentially spread values in rising order, one per register; a register keeps the least
 value over the set as a truncated logarithm to base 1.001, so the sketch of a union is
 the register-wise maximum (``merge``). Equal bands of registers make two documents
@@ -13,8 +13,9 @@ links found join components. Buckets of up to SMALL documents that are not one c
 by then compare the rest directly. In larger ones, members of the smallest components lead
 and meet the whole bucket in blocks (``_block_links``), round by round, until all that
 never led are one component: any other pair has been compared or is connected anyway. So no
-link within a bucket is lost, and no group emits its pairs. Two texts at the threshold
-meet in a bucket but for a chance of 4e-7.
+link within a bucket is lost, and no group emits its pairs. The rows of a band follow the
+threshold, so that two texts at it meet in a bucket but for a chance of MISS: 4e-7 at 85 with
+25 bands of 5 registers, 5e-8 at 80 with 32 bands of 4.
 
 Cases: null and empty texts have no shingle, n_shingles 0, and are a component of their
 own; one or two words are one shingle. Repeated rows stay as rows; rows that share an id
@@ -35,7 +36,7 @@ from stacklore.session import cut_lineage
 SHINGLE = 3
 REGISTERS = 128
 BASE, RATE, TOP = 1.001, 20.0, 65534
-BANDS, BAND_ROWS = 25, 5
+MISS = 1e-6
 THRESHOLD = 85
 SLACK = 0.16
 SMALL = 32
@@ -101,13 +102,21 @@ def merge(a, b):
     return np.maximum(a, b)
 
 
-def _bands(registers):
-    """One 64-bit key per band, different in every band."""
-    out = np.zeros((registers.shape[0], BANDS), np.uint64)
-    for band in range(BANDS):
+def band_rows(threshold):
+    """Most registers a band may have for pairs at the threshold to be missed by MISS at most."""
+    for rows in range(REGISTERS, 1, -1):
+        if (1 - (threshold / 100) ** rows) ** (REGISTERS // rows) <= MISS:
+            return rows
+    return 1
+
+
+def _bands(registers, rows):
+    """One 64-bit key per band of ``rows`` registers, different in every band."""
+    out = np.zeros((registers.shape[0], REGISTERS // rows), np.uint64)
+    for band in range(out.shape[1]):
         key = np.full(registers.shape[0], _STEPS[band])
-        for k in range(BAND_ROWS):
-            key = tokens.mix(key + registers[:, band * BAND_ROWS + k].astype(np.uint64) + _WORDS)
+        for k in range(rows):
+            key = tokens.mix(key + registers[:, band * rows + k].astype(np.uint64) + _WORDS)
         out[:, band] = key
     return out.view(np.int64)
 
@@ -142,8 +151,10 @@ def likely_similarity(a, b, size_a, size_b, steps=40):
     return (low + high) / 2
 
 
-def sketches(docs, shingle=SHINGLE) -> DataFrame:
+def sketches(docs, shingle=SHINGLE, threshold=THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, digest of the folded words, registers and band keys of each row."""
+    rows = band_rows(threshold)
+
     def run(batches):
         import pyarrow as pa
 
@@ -161,8 +172,8 @@ def sketches(docs, shingle=SHINGLE) -> DataFrame:
                     pa.array(digests, pa.binary()),
                     pa.array([r.tobytes() for r in registers], pa.binary()),
                     pa.ListArray.from_arrays(
-                        pa.array(np.arange(n + 1, dtype=np.int32) * BANDS),
-                        pa.array(_bands(registers).reshape(-1)))],
+                        pa.array(np.arange(n + 1, dtype=np.int32) * (REGISTERS // rows)),
+                        pa.array(_bands(registers, rows).reshape(-1)))],
                     ["doc_id", "n_shingles", "digest", "registers", "bands"])
 
     return typed(docs, "doc_id", "text").mapInArrow(
@@ -315,7 +326,7 @@ def _next_leaders(members):
 
 def near_duplicates(docs, threshold=THRESHOLD, shingle=SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
-    rows = cut_lineage(sketches(docs, shingle), "near-sketches")
+    rows = cut_lineage(sketches(docs, shingle, threshold), "near-sketches")
     digests = cut_lineage(rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
                           .groupBy("digest").agg(F.min("doc_id").alias("node"),
                                                  F.count("*").alias("n")), "near-digests")

@@ -165,21 +165,29 @@ def test_rule_measures(spark):
     assert rules.passed(docs).count() == sum(1 for b in bits if not b)
 
 
-def brute_near(rows):
+def brute_near(rows, size=3, threshold=85):
     sets = {}
     for i, t in rows:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = {tuple(w[k:k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+        sets[i] = {tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
     label = {i: i for i in sets}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and
-             100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+             100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
     for _ in sets:
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-def test_near_duplicates_with_a_large_group(spark):
+def test_bands_follow_the_threshold():
+    assert [near_dedup.band_rows(t) for t in (80, 85)] == [4, 5]
+    for t in (50, 70, 80, 85, 95):
+        rows = near_dedup.band_rows(t)
+        assert (1 - (t / 100) ** rows) ** (near_dedup.REGISTERS // rows) <= near_dedup.MISS
+
+
+@pytest.mark.parametrize("size, threshold", [(3, 85), (5, 80)])
+def test_near_duplicates_with_a_large_group(spark, size, threshold):
     """Copies of copies: members differ too much to be linked with the first one directly."""
     rng = random.Random(1)
     base = [f"w{k}" for k in range(150)]
@@ -193,8 +201,8 @@ def test_near_duplicates_with_a_large_group(spark):
     rows += [(300, "a b"), (301, "A  B"), (302, None), (303, ""), (304, "a b c")]
     docs = frame(spark, [(i, t, "s") for i, t in rows])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
-           for r in near_dedup.near_duplicates(docs).collect()}
-    assert got == brute_near(rows)
+           for r in near_dedup.near_duplicates(docs, threshold, size).collect()}
+    assert got == brute_near(rows, size, threshold)
 
 
 def test_sketch_estimates_and_merges():
@@ -373,7 +381,7 @@ def test_pipeline_stages(spark, sf_dir):
     kept = rules.passed(docs)
     assert kept.columns == docs.columns
     once = corpus_pipeline.near_duplicates(spark, kept, sf_dir)
-    labels = brute_near([(r["doc_id"], r["text"]) for r in kept.collect()])
+    labels = brute_near([(r["doc_id"], r["text"]) for r in kept.collect()], 5, 80)
     assert {r["doc_id"] for r in once.collect()} == {i for i, (_, c) in labels.items() if i == c}
     result = corpus_pipeline.run(spark, sf_dir).collect()
     items = [" ".join(WORD.findall(r["text"].lower())) for r in table(spark, sf_dir, "benchmark").collect()]
