@@ -18,8 +18,8 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near duplicates, the one with the smallest id."""
-    copies = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    """One document of each group that shares 80 % of its five-word shingles, smallest id first."""
+    copies = near_dedup.near_duplicates(docs, threshold=80, shingle=5).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
