@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from stacklore.operators import ranking, search, vectors as N
 from stacklore.operators.catalogue import KEY, summary
+from stacklore.operators.vector_index import MAX_CELLS, VectorIndex
 from stacklore.plans import views as V
 from stacklore.plans.registry import query
 from stacklore.plans.sql_views import with_views
+from stacklore.session import scratch_dir
 
 HITS = ("vectors", "search_queries", "cosines", "vector_hits")
 HYBRID = ("assets_flat", "vectors", "search_queries", "cosines", "keyword_hits", "hybrid")
@@ -49,6 +51,28 @@ def knn_join(spark, d):
     return N.knn(_queries(spark, d), _vectors(spark, d), K, sent_bytes=-1, block_rows=256)
 
 
+def _index(spark, d):
+    return VectorIndex.build(_vectors(spark, d), scratch_dir(spark, "index"))
+
+
+@query("vector_search_ann")
+def vector_search_ann(spark, d):
+    """Every hundredth vector looks for its neighbours in an index of all, half in its project."""
+    every = V.vectors(spark, d).where("doc_id % 100 = 0")
+    queries = N.vector_prepare(every.select(
+        F.col("doc_id").cast("long").alias("query_id"), "embedding",
+        F.when(F.col("doc_id") % 200 == 0, F.col("project")).alias("project")), 64)
+    index = _index(spark, d)
+    return index.search(queries, K, index.probes_for(queries, K))
+
+
+@query("vector_index_full", with_views(
+    "SELECT query_id, project, name, similarity, rank FROM vector_hits", *HITS))
+def vector_index_full(spark, d):
+    """The index with all cells probed: the exact result."""
+    return _index(spark, d).search(_queries(spark, d), K, MAX_CELLS)
+
+
 @query("topk_per_query", """
     SELECT user_id AS query_id, event_type AS project, 'ev_' || event_id AS name, value
              AS similarity, row_number() OVER (PARTITION BY user_id ORDER BY value DESC,
