@@ -4,7 +4,10 @@ Two layouts hold the same data. The bulk layout is a metadata table (JSON
 lines by project) and a code table (by project and language), and is what a large
 catalogue is exported to. The tree layout is one code file and one metadata file
 per asset, ``projects/{project}/functions/{language}/{name}.{ext}`` and
-``projects/{project}/metadata/{name}.json``; it is read here as well.
+``projects/{project}/metadata/{name}.json``, for catalogues that people edit.
+
+Metadata may hold fields of any name. Those of ``schemas.MIRROR_METADATA`` are columns, all
+others are read into ``extra``, a map of variants, and written back beside the columns.
 """
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -13,6 +16,7 @@ from stacklore.functions.replies import whole_json
 from stacklore import schemas
 from stacklore.functions.text import code_hash, extension
 from stacklore.operators.catalogue import KEY
+from stacklore.sources import tree
 
 _PATH = r"projects/([^/]+)/functions/([^/]+)/([^/]+)\.([^./]+)$"
 
@@ -25,10 +29,29 @@ def mirror_export(catalogue: DataFrame, path):
 
 def write_metadata(catalogue: DataFrame, path):
     lists = [c for c in ("tags", "dependencies") if c in catalogue.columns]
-    meta = catalogue.drop("embedding").withColumns(
+    meta = catalogue.withColumns(
         {**{c: F.to_json(c) for c in lists}, "folder": F.col("folder")
             if "folder" in catalogue.columns else F.col("project")})
-    _by_folder(meta).json(f"{path}/metadata")
+    _by_folder(meta.select(metadata_json(meta).alias("value"), "folder")).text(f"{path}/metadata")
+
+
+def metadata_json(rows: DataFrame, pretty=False):
+    """Column: all columns but vectors as a JSON object, the fields of ``extra`` beside them.
+
+    A field of ``extra`` that has the name of a column gives way to the column.
+    """
+    columns = [c for c in rows.columns if c not in ("embedding", "extra", "folder")]
+    options = {"pretty": str(pretty).lower()}
+    base = F.to_json(F.struct(*columns), options)
+    if "extra" not in rows.columns:
+        return base
+    others = F.map_filter("extra", lambda k, _: ~k.isin(*columns))
+    more = F.to_json(others, options)
+    edge = 2 if pretty else 1  # the brace and, if pretty, the line end beside it
+    return F.when(F.coalesce(F.size(others), F.lit(0)) <= 0, base).when(
+        ~base.contains(":"), more).otherwise(F.concat(
+            F.left(base, F.length(base) - edge), F.lit(",\n" if pretty else ","),
+            F.substr(more, F.lit(edge + 1))))
 
 
 def write_code(catalogue: DataFrame, path):
@@ -43,16 +66,64 @@ def _by_folder(rows: DataFrame):
     return rows.hint("rebalance", "folder").write.partitionBy("folder")
 
 
+def mirror_write_tree(catalogue: DataFrame, path):
+    """Write the tree layout below ``path``; files that are there are replaced.
+
+    Rows without project go to ``default``. Of rows that share a key, the one whose JSON and
+    code sort last stays. A null code writes no code file; one of another language, written
+    before, stays where it is and is read no more. See ``tree`` for how a failed task, a lost
+    executor or an interrupted driver leaves only whole assets.
+    """
+    named = catalogue.withColumn("project", F.coalesce("project", F.lit("default"))) \
+        .withColumn("name", F.coalesce("name", F.lit("unknown")))
+    if "folder" not in named.columns:
+        named = named.withColumn("folder", F.col("project"))
+    place = F.concat(F.lit("projects/"), tree.file_name("folder"))
+    language = _language_folder()
+    pairs = named.select(
+        F.concat(place, F.lit("/functions/"), tree.file_name(language), F.lit("/"),
+                 tree.file_name("name"), F.lit("."), extension(language)).alias("code_target"),
+        F.col("code"),
+        F.concat(place, F.lit("/metadata/"), tree.file_name("name"), F.lit(".json"))
+        .alias("meta_target"),
+        metadata_json(named, pretty=True).alias("meta"))
+    tree.write_pairs(pairs.groupBy("meta_target").agg(
+        F.max(F.struct("meta", "code", "code_target")).alias("_last")).select(
+        "_last.code_target", "_last.code", "meta_target", "_last.meta"), path)
+
+
+def _language_folder():
+    return F.lower(F.coalesce("language", F.lit("python")))
+
+
 def mirror_read(spark, path) -> DataFrame:
     """Read the bulk layout back; code of the code table wins over metadata."""
     # The folder is read as text: a project called 007 keeps its name.
-    fields = T.StructType([*schemas.MIRROR_METADATA, T.StructField("folder", T.StringType())])
-    meta = spark.read.schema(fields).json(f"{path}/metadata").withColumn(
+    lines = spark.read.schema("value string, folder string").text(f"{path}/metadata")
+    meta = records(lines.where("trim(value) <> ''"), schemas.MIRROR_METADATA).withColumn(
         "project", F.coalesce("project", "folder")).drop("folder")
     code = spark.read.parquet(f"{path}/code").select(*KEY, "language", "code")
     return mirror_join(meta, code)
 
 
+def records(texts: DataFrame, fields) -> DataFrame:
+    """JSON objects of the column ``value`` as columns ``fields``, the rest in ``extra``.
+
+    ``extra`` maps names to variants; of a name given twice, the last counts. It is empty
+    where there are no other fields and where the text is no JSON object.
+    """
+    every = F.from_json("value", "map<string,variant>")
+    others = texts.withColumns({"_fields": F.from_json("value", fields), "_every": F.map_entries(
+        F.map_filter(every, lambda k, _: ~k.isin(*fields.names)))})
+    names = F.col("_every")["key"]
+    last = F.filter("_every", lambda e, i: ~F.array_contains(
+        F.slice(names, i + 2, F.size(names) + 1), e["key"]))
+    none = F.from_json(F.lit("{}"), "map<string,variant>")
+    return others.select(
+        *texts.drop("value").columns, "_fields.*",
+        F.coalesce(F.map_from_entries(last), none).alias("extra"))
+
+
 def _file_path():
     """Path of the file of a row; a plus sign in it is no space."""
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
@@ -62,36 +133,46 @@ def mirror_read_tree(spark, path) -> DataFrame:
     """Read the tree layout of every project.
 
     Code is looked for in the folder that holds the metadata, whatever project that names;
-    ``folder`` is kept beside ``project``.
+    ``folder`` is kept beside ``project``. Files whose names start with ``_`` or ``.`` are
+    passed over, as in any folder Spark reads; ``mirror_write_tree`` escapes such names.
     """
+    texts = (
+        spark.read.schema("value string")
+        .text(f"{path}/projects/*/metadata/*.json", wholetext=True)
+        .withColumn("_place", F.regexp_extract(_file_path(), r"projects/([^/]+)/metadata/", 1))
+    )
     meta = (
-        spark.read.schema(schemas.MIRROR_METADATA).option("multiLine", True)
-        .json(f"{path}/projects/*/metadata/*.json")
-        .withColumn("folder", F.regexp_extract(_file_path(), r"projects/([^/]+)/metadata/", 1))
+        records(texts, schemas.MIRROR_METADATA).withColumnRenamed("_place", "folder")
         .withColumn("project", F.coalesce("project", "folder"))
-        .where("name is not null")
+        .where("name is not null").withColumn("_file", tree.file_name("name"))
+        .withColumn("_kind", F.lower(tree.file_name(_language_folder())))
     )
     # Read as bytes: the text reader drops the last line end.
     files = spark.read.format("binaryFile").load(f"{path}/projects/*/functions/*/*").withColumn(
         "_path", _file_path())
     code = files.select(
         F.regexp_extract("_path", _PATH, 1).alias("folder"),
-        F.regexp_extract("_path", _PATH, 3).alias("name"),
-        F.regexp_extract("_path", _PATH, 2).alias("language"),
+        F.regexp_extract("_path", _PATH, 3).alias("_file"),
+        F.lower(F.regexp_extract("_path", _PATH, 2)).alias("_kind"),
         F.regexp_extract("_path", _PATH, 4).alias("extension"),
         F.decode("content", "UTF-8").alias("code"))
-    return mirror_join(meta, code, ["folder", "name"])
+    return mirror_join(meta, code, ["folder", "_file", "_kind"]).drop("_file", "_kind")
 
 
 def mirror_join(meta: DataFrame, code: DataFrame, on=KEY) -> DataFrame:
-    """Metadata with the code of its file, and the hash of what was really read."""
+    """Metadata with the code of its file, and the hash of what was really read.
+
+    Both meet by ``on``, and by language and extension where ``code`` has these.
+    """
     meta = meta.withColumn("language", F.coalesce("language", F.lit("python")))
     files = code.select(
-        *on, F.lower("language").alias("_language"), F.col("code").alias("_file_code"),
+        *on, F.col("code").alias("_file_code"),
+        *([F.lower("language").alias("_language")] if "language" in code.columns else []),
         *([F.col("extension").alias("_extension")] if "extension" in code.columns else []))
-    match = [*on]
-    keyed = meta.withColumn("_language", F.lower("language"))
-    match.append("_language")
+    match, keyed = [*on], meta
+    if "_language" in files.columns:
+        keyed = keyed.withColumn("_language", F.lower("language"))
+        match.append("_language")
     if "_extension" in files.columns:
         keyed = keyed.withColumn("_extension", extension("language"))
         match.append("_extension")
