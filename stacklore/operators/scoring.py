@@ -60,32 +60,46 @@ PLUGINS = {"structural": structural}
 
 
 def evaluate(assets: DataFrame, plugins=None) -> DataFrame:
-    """All evaluation rows of all plug-ins, as one long table."""
-    return reduce(DataFrame.unionByName, [
-        plugin(assets).select(*EVALUATION) for plugin in (plugins or PLUGINS).values()])
+    """All evaluation rows of all plug-ins, as one long table.
+
+    If a plug-in has a column ``details`` (a variant of its own making), the table has it too,
+    null for the others.
+    """
+    found = [plugin(assets) for plugin in (plugins or PLUGINS).values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        rows.select(*EVALUATION, *[c for c in rows.columns if c == "details"]) for rows in found])
 
 
-def python_row_evaluator(name, judge):
+def python_row_evaluator(name, judge, with_details=False):
     """A plug-in from a Python function ``judge(code, language) -> (score, reason)``.
 
-    A call that fails yields score 0 with a system error; it never fails the job.
+    With ``with_details`` it returns a third value, a dict of its own fields, which becomes
+    the variant ``details``. A call that fails yields score 0 with a system error, and the
+    kind of the error as its details; it never fails the job.
     """
+    import json
+
     import pandas as pd
 
-    @F.pandas_udf("score double, reason string, is_system_error boolean")
+    @F.pandas_udf("score double, reason string, is_system_error boolean, details string")
     def run(code: pd.Series, language: pd.Series) -> pd.DataFrame:
         rows = []
         for text, lang in zip(code, language):
             try:
-                score, reason = judge(text, lang)
-                rows.append((float(score), reason, False))
+                score, reason, *details = judge(text, lang)
+                rows.append((float(score), reason, False, json.dumps(details[0], allow_nan=False)
+                             if with_details else None))
             except Exception as error:  # noqa: BLE001 - any fault is a verdict here
-                rows.append((0.0, f"Evaluator error: {error}", True))
-        return pd.DataFrame(rows, columns=["score", "reason", "is_system_error"])
+                rows.append((0.0, f"Evaluator error: {error}", True,
+                             json.dumps({"error_type": type(error).__name__})))
+        return pd.DataFrame(rows, columns=["score", "reason", "is_system_error", "details"])
 
     def plugin(assets):
-        judged = assets.select("asset_id", run("code", "language").alias("r"))
-        return judged.select("asset_id", F.lit(name).alias("evaluator"), "r.*")
+        judged = assets.select("asset_id", run("code", "language").alias("r")).select(
+            "asset_id", F.lit(name).alias("evaluator"), "r.*")
+        if not with_details:
+            return judged.drop("details")
+        return judged.withColumn("details", F.try_parse_json("details"))
 
     return plugin
 
@@ -210,13 +224,22 @@ def verification_report(gated: DataFrame, evaluations: DataFrame) -> DataFrame:
 
     An asset has at most one entry per evaluator, so the map stays small; one that no
     evaluator has seen has an empty map. The reason starts with what the stage says.
+    Evaluations may have ``details``, a variant with the evaluator's own values: each entry
+    keeps those of the best row (by score, then reason), null where that has none.
     """
-    entry = F.struct("evaluator", F.struct("score", "reason", "is_system_error").alias("result"))
+    own = ["details"] if "details" in evaluations.columns else []
+    entry = F.struct("evaluator", F.struct(
+        "score", "reason", "is_system_error", *own).alias("result"))
+    best = F.struct("score", "reason")
     each = evaluations.groupBy("asset_id", "evaluator").agg(
         F.max("score").alias("score"), F.max("reason").alias("reason"),
-        F.max("is_system_error").alias("is_system_error"))
+        F.max("is_system_error").alias("is_system_error"),
+        *[F.max_by(F.struct(c), best)[c].alias(c) for c in own])
+    # Variants have no order, so entries are put in order by evaluator alone.
+    by_name = (lambda a, b: F.when(a["evaluator"] < b["evaluator"], -1).when(
+        a["evaluator"] > b["evaluator"], 1).otherwise(0))
     details = each.groupBy("asset_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("entries"),
+        F.array_sort(F.collect_list(entry), by_name).alias("entries"),
         F.max("is_system_error").alias("is_system_error"))
     rows = gated.select("asset_id", "score", "stage").join(details, "asset_id", "left")
     empty = F.from_json(F.lit("[]"), rows.schema["entries"].dataType)

@@ -80,6 +80,43 @@ def mirror_export(spark, d):
         _joined("tags"))
 
 
+@query("mirror_export_tree", with_views("""
+    SELECT project, name, language, true AS code_from_file, code_hash, description, call_count,
+           array_to_string(tags, ',') AS tags FROM assets_flat""", *FLAT))
+def mirror_export_tree(spark, d):
+    """One code file and one metadata file per asset, written and read back."""
+    path = scratch_dir(spark, "mirror")
+    mirror.mirror_write_tree(V.assets_flat(spark, d).select(
+        "project", "name", "code", "language", "tags", "description", "call_count"), path)
+    return mirror.mirror_read_tree(spark, path).select(
+        "project", "name", "language", "code_from_file", "code_hash", "description",
+        "call_count", _joined("tags"))
+
+
+@query("mirror_open_fields", with_views("""
+    SELECT a.project, a.name, d.n_chars::BIGINT AS n_chars, d.lang,
+           CASE WHEN a.doc_id % 3 = 0 THEN a.doc_id END AS ticket,
+           CASE WHEN a.doc_id % 3 = 0 THEN 2 ELSE 1 END AS others
+    FROM assets_flat a JOIN documents d ON d.doc_id = a.doc_id""", *FLAT))
+def mirror_open_fields(spark, d):
+    """Metadata fields that no schema knows, through an export and an import."""
+    path = scratch_dir(spark, "mirror")
+    source = V.table(spark, d, "documents").select("doc_id", F.struct("n_chars", "lang").alias(
+        "measured"), F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.struct(
+            "doc_id").alias("review note")))).alias("open"))
+    rows = V.assets_flat(spark, d).join(source, "doc_id").withColumn(
+        "extra", F.from_json("open", "map<string,variant>"))
+    mirror.mirror_export(rows.select(
+        "project", "name", "code", "language", "measured", "extra"), path)
+    back = mirror.mirror_read(spark, path)
+    return back.select(
+        "project", "name",
+        F.variant_get(F.col("extra")["measured"], "$.n_chars", "long").alias("n_chars"),
+        F.variant_get(F.col("extra")["measured"], "$.lang", "string").alias("lang"),
+        F.variant_get(F.col("extra")["review note"], "$.doc_id", "long").alias("ticket"),
+        F.size("extra").alias("others"))
+
+
 @query("mirror_join", with_views(f"""
     SELECT project, name, language, {code_hash("coalesce(p.html, a.code)")} AS code_hash,
            p.html IS NOT NULL AS code_from_file

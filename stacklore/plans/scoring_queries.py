@@ -8,6 +8,7 @@ from stacklore.operators import catalogue, reports, scoring as S
 from stacklore.plans import views as V
 from stacklore.plans.registry import query
 from stacklore.plans.sql_views import text as quoted, with_views
+from stacklore.session import cut_lineage
 
 
 def _by_template(column, values, kind="VARCHAR"):
@@ -307,6 +308,35 @@ def verification_report(spark, d):
         F.col("details")["runtime"]["score"].alias("runtime"))
 
 
+@query("report_details", with_views("""
+    SELECT g.asset_id, e.evaluator, max(e.score)::DOUBLE AS score, l_linenumber::BIGINT AS line,
+           count(*) AS parts, max(l_extendedprice)::DOUBLE AS price
+    FROM gated g JOIN evaluations e ON e.asset_id = g.asset_id
+    JOIN lineitem ON l_orderkey = e.asset_id AND 'line ' || l_linenumber = e.reason
+    GROUP BY ALL""", *GATE))
+def report_details(spark, d):
+    """What each evaluator kept beside its score, read out of stored reports."""
+    measured = V.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.count("*").alias("parts"), F.max("l_extendedprice").alias("price"))
+    own = measured.select(
+        F.col("l_orderkey").alias("asset_id"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("reason"),
+        F.to_variant_object(F.struct(
+            F.col("l_linenumber").alias("line"), F.struct("parts", "price").alias("found")))
+        .alias("details"))
+    evaluations = V.evaluation_rows(spark, d).join(own, ["asset_id", "reason"])
+    stored = cut_lineage(S.verification_report(_gated(spark, d), evaluations), "reports")
+    each = stored.select("asset_id", F.explode("details").alias("evaluator", "r"))
+
+    def kept(path, kind):
+        return F.variant_get("r.details", path, kind)
+
+    return each.select(
+        "asset_id", "evaluator", "r.score", kept("$.line", "long").alias("line"),
+        kept("$.found.parts", "long").alias("parts"),
+        kept("$.found.price", "double").alias("price"))
+
+
 @query("evaluator_plugins", """
     SELECT doc_id AS asset_id, 'structural' AS evaluator, CASE WHEN list_reduce(list_concat([''],
       regexp_extract_all(text, '[()\\[\\]{}]')), lambda s, c: CASE

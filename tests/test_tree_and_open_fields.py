@@ -143,3 +143,30 @@ def test_records_of_odd_texts(spark):
         .collect()}
     assert got == {1: ("a", '{"k":2,"K":3}'), 2: (None, "{}"), 3: (None, "{}"),
                    4: (None, "{}"), 5: (None, "{}")}
+
+
+def test_reports_keep_the_details_of_evaluators(spark):
+    def judge(code, language):
+        if code == "bad":
+            raise ValueError("no")
+        return len(code), "length", {"chars": len(code), "seen": [language, None]}
+
+    rows = spark.createDataFrame([(1, "abc", "python"), (2, "bad", "rust"), (3, "", "go")],
+                                 "asset_id long, code string, language string")
+    found = S.evaluate(rows, {**S.PLUGINS, "own": S.python_row_evaluator("own", judge, True)})
+    # The same evaluator once more: the better row's details stay.
+    worse = found.where("evaluator = 'own'").withColumn("score", F.lit(-1.0)).withColumn(
+        "details", F.try_parse_json(F.lit('{"chars":99}')))
+    gated = rows.select("asset_id", F.lit(1.0).alias("score"), F.lit("weighted").alias("stage"))
+    gated = gated.unionByName(spark.sql("SELECT 4L AS asset_id, 0D AS score, 'weighted' AS stage"))
+    got = {r["asset_id"]: r for r in S.verification_report(gated, found.unionByName(worse)).select(
+        "asset_id", "reason", "is_system_error", F.map_keys("details").alias("keys"),
+        F.to_json(F.col("details")["own"]["details"]).alias("own"),
+        F.col("details")["structural"]["details"].isNull().alias("none")).collect()}
+    assert json.loads(got[1]["own"]) == {"chars": 3, "seen": ["python", None]}
+    assert json.loads(got[2]["own"]) == {"error_type": "ValueError"} and got[2]["is_system_error"]
+    assert json.loads(got[3]["own"]) == {"chars": 0, "seen": ["go", None]}
+    assert got[4]["keys"] == [] and got[1]["none"] and got[1]["keys"] == ["own", "structural"]
+    plain = S.verification_report(gated, found.drop("details"))
+    assert {r["asset_id"]: r["reason"] for r in plain.collect()} == {
+        k: r["reason"] for k, r in got.items()}
