@@ -138,7 +138,7 @@ def mirror_read_tree(spark, path) -> DataFrame:
     """
     texts = (
         spark.read.schema("value string")
-        .text(f"{path}/projects/*/metadata/*.json", wholetext=True)
+        .text(f"{path}/projects/*/metadata", wholetext=True, pathGlobFilter="*.json")
         .withColumn("_place", F.regexp_extract(_file_path(), r"projects/([^/]+)/metadata/", 1))
     )
     meta = (
@@ -147,8 +147,9 @@ def mirror_read_tree(spark, path) -> DataFrame:
         .where("name is not null").withColumn("_file", tree.file_name("name"))
         .withColumn("_kind", F.lower(tree.file_name(_language_folder())))
     )
-    # Read as bytes: the text reader drops the last line end.
-    files = spark.read.format("binaryFile").load(f"{path}/projects/*/functions/*/*").withColumn(
+    # Folders are named, not files: Spark looks at each name it is given on the driver, and
+    # lists folders in a job. Read as bytes: the text reader drops the last line end.
+    files = spark.read.format("binaryFile").load(f"{path}/projects/*/functions/*").withColumn(
         "_path", _file_path())
     code = files.select(
         F.regexp_extract("_path", _PATH, 1).alias("folder"),
