@@ -25,6 +25,19 @@ _BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.ExceptHandle
              ast.With, ast.AsyncWith, ast.IfExp)
 
 
+def _walk(root):
+    """The nodes of ``ast.walk`` in its order, without those that say load or store."""
+    found = [root]
+    for node in found:
+        for field in node._fields:
+            value = getattr(node, field, None) if field != "ctx" else None
+            if isinstance(value, ast.AST):
+                found.append(value)
+            elif isinstance(value, list):
+                found.extend([v for v in value if isinstance(v, ast.AST)])
+    return found
+
+
 def _constant(node):
     if isinstance(node, ast.Compare):
         return all(map(_constant, [node.left, *node.comparators]))
@@ -32,7 +45,7 @@ def _constant(node):
 
 
 def _complexity(function):
-    nodes = list(ast.walk(function))
+    nodes = _walk(function)
     return 1 + sum(isinstance(n, _BRANCHES) for n in nodes) + sum(
         len(n.values) - 1 for n in nodes if isinstance(n, ast.BoolOp))
 
@@ -115,7 +128,7 @@ def parse_facts(source, kinds):
         tree = ast.parse(source or "")
         top = set(map(id, tree.body))
         found = []
-        for node in ast.walk(tree):
+        for node in _walk(tree):
             for read in readers.get(type(node), ()):
                 for fact in read(node):
                     fact.setdefault("lineno", node.lineno)

@@ -207,7 +207,7 @@ _STAGE = ["weighted", "weighted", "deterministic", "weighted", "weighted", "weig
            CASE WHEN ({_GATE})[p_partkey % 16 + 1] >= 70 THEN 'verified' ELSE 'failed' END
              AS status FROM part""")
 def code_gate(spark, d):
-    """From source text to verdict in one pass, without a shuffle."""
+    """From source text to verdict in one pass, without a shuffle of texts."""
     wide = _scores(spark, d).withColumns({
         "is_draft": F.lit(False), "has_test": F.length("test_code") > 0,
         "no_error": F.lit(False)})

@@ -5,7 +5,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stacklore.functions.text import code_hash
-from stacklore.session import cut_lineage
+from stacklore.session import cut_lineage, spread
 
 START = "2024-01-01 00:00:00"
 SEARCH_WORDS = ["ther", "tion", "with", "elle", "der", "que", "and", "para"]
@@ -206,7 +206,7 @@ def candidate_queries(spark, sf_dir) -> DataFrame:
 
 def code_assets(spark, sf_dir) -> DataFrame:
     """One asset per part, from sixteen code templates with known facts."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey"))
     key = F.col("p_partkey").cast("string")
     template = F.col("p_partkey") % 16
 
@@ -259,7 +259,7 @@ MODULE_TEMPLATES = [
 
 
 def module_files(spark, sf_dir) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey"))
     return part.select(
         F.col("p_partkey").alias("file_id"),
         F.replace(pick(MODULE_TEMPLATES, F.col("p_partkey") % 4), F.lit("{k}"),

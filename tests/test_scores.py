@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stacklore import constants as K
 from stacklore.functions import code as C, facts as P, replies as R, text as X
 from stacklore.operators import scoring as S
+from stacklore.plans import QUERIES
 
 
 def gate(spark, is_draft=False, has_test=True, language="python", **scores):
@@ -186,3 +187,25 @@ def test_search_document_layout(spark):
         X.search_document("n", "d", "t", "c")).first()
     assert row[0] == ("LOGIC ASSET: n\nTECHNICAL SPECIFICATION:\nd\nTAGS: a, b\n"
                       "--- IMPLEMENTATION DETAILS ---\nc")
+
+
+@pytest.mark.parametrize("name, given", [
+    ("metrics_score", 15), ("fact_test_calls_code", 15), ("code_gate", 16),
+    ("deterministic_score", 16), ("dependency_set", 16)])
+def test_many_parts_of_one_file_are_parsed_by_many_tasks(spark, tmp_path, name, given):
+    """Keys that come twice and a null key are rows like any others."""
+    keys = spark.range(24_000).select((F.col("id") % 16_000).alias("p_partkey"))
+    keys.unionByName(spark.sql("select cast(null as bigint) as p_partkey")).coalesce(1).write.parquet(
+        str(tmp_path / "part.parquet"))
+    rows = QUERIES[name](spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= 3
+    assert rows.where("asset_id is not null").count() == 24_000 * given // 16
+
+
+def test_the_walk_is_that_of_ast():
+    import ast
+
+    for module in (P, C, S, K):
+        tree = ast.parse(open(module.__file__).read())
+        assert P._walk(tree) == [
+            n for n in ast.walk(tree) if not isinstance(n, ast.expr_context)]
