@@ -1,24 +1,52 @@
 """Short pieces of texts as numbers, many texts at a time from Arrow buffers.
 
-A piece is one, two or three bytes in a row, so there are ``CODES`` of them at most. A text
-holds another only if it holds all the other's pieces: UTF-8 never matches inside a letter.
+A piece is one to LONGEST bytes in a row; its number holds the bytes and, above them, how many
+they are. A text holds another only if it holds all the other's pieces: UTF-8 never matches
+inside a letter.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LONGEST = 3
-CODES = 256 + 256 ** 2 + 256 ** 3
-_FIRST = {1: 0, 2: 256, 3: 256 + 256 ** 2}
+LONGEST = 7
 SLICE_BYTES = 4 << 20
+FILTER_BITS = 25
+_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def code_bits(codes):
-    """A set of codes as bits, of a fixed size however many there are."""
-    marks = np.zeros(CODES, bool)
-    marks[np.asarray(codes, np.int64)] = True
-    return np.packbits(marks)
+def _spots(codes):
+    """The two bits of each code in a filter."""
+    return [(codes * np.uint64(m)) >> np.uint64(64 - FILTER_BITS) for m in _MIXERS]
+
+
+def piece_filter(pieces: DataFrame):
+    """(bits, sizes) of the column ``piece``: all its pieces and few others pass the bits.
+
+    What the driver takes is one number per bit at most, however many pieces there are.
+    """
+    top = 1 << FILTER_BITS  # numbers from here on name sizes
+
+    def mark(batches):
+        for batch in batches:
+            codes = batch.column("piece").to_numpy().view(np.uint64)
+            marks = np.unique(np.concatenate([*_spots(codes), (codes >> np.uint64(56)) + np.uint64(top)]))
+            yield pa.RecordBatch.from_arrays([pa.array(marks.astype(np.int32))], ["mark"])
+
+    found = pieces.select("piece").mapInArrow(mark, "mark int").distinct().toArrow()
+    found = found.column("mark").to_numpy()
+    marks = np.zeros(top, bool)
+    marks[found[found < top]] = True
+    return np.packbits(marks, bitorder="little"), sorted(int(s) - top for s in found[found >= top])
+
+
+def _passing(codes, bits):
+    """Where the codes pass the filter."""
+    at = np.arange(len(codes))
+    for number in range(len(_MIXERS)):
+        spot = _spots(codes[at])[number]
+        at = at[(bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return at
 
 
 def _slices(batch, text):
@@ -34,44 +62,54 @@ def _slices(batch, text):
         at = to
 
 
-def _row_codes(data, ends, size):
-    """(row, code) of each piece of this size, each row's pieces once."""
+def _row_codes(data, ends, size, bits):
+    """(row, code) of each piece of this size, or of those that pass the bits."""
     places = len(data) - size + 1
     if places <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = np.zeros(places, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    code = np.zeros(places, np.uint64)
     for k in range(size):
-        code = (code << 8) | data[k:k + places]
-    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[:places]
-    inside = np.arange(places) + size <= ends[row + 1]
-    return row[inside], code[inside] + _FIRST[size]
+        code = (code << np.uint64(8)) | data[k:k + places]
+    code |= np.uint64(size << 56)
+    at = np.arange(places) if bits is None else _passing(code, bits)
+    row = np.searchsorted(ends, at, "right") - 1
+    inside = at + size <= ends[row + 1]
+    return row[inside], code[at[inside]]
+
+
+def _once(row, code):
+    """Each pair of row and code once, in order."""
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+    return row[new], code[new]
 
 
-def text_pieces(rows: DataFrame, keys, text, bits=None, whole=False) -> DataFrame:
+def text_pieces(rows: DataFrame, keys, text, only=None, whole=False) -> DataFrame:
     """``keys`` and ``piece`` for the pieces of the column ``text``, each once a row.
 
-    ``bits`` (``code_bits``) leaves only these pieces. With ``whole``, texts of LONGEST bytes
-    or more have pieces of that size only and shorter ones are their own piece.
+    ``only`` (a ``piece_filter``) leaves its pieces and few others. With ``whole``, texts of
+    LONGEST bytes or more have pieces of that size only and shorter ones are their own piece.
     """
     def cut(batches):
-        marks = None if bits is None else np.unpackbits(bits, count=CODES).astype(bool)
+        bits, sizes = only or (None, range(1, LONGEST + 1))
         for batch in batches:
             for part, data, ends in _slices(batch, text):
                 found = []
-                for size in range(1, LONGEST + 1):
-                    row, code = _row_codes(data, ends, size)
+                for size in sizes:
+                    row, code = _row_codes(data, ends, size, bits)
                     if whole and size < LONGEST:
                         own = np.diff(ends)[row] == size
                         row, code = row[own], code[own]
-                    if marks is not None:
-                        row, code = row[marks[code]], code[marks[code]]
-                    found.append(np.unique(row * CODES + code))
-                found = np.concatenate(found)
-                take = pa.array(found // CODES)
+                    found.append(_once(row, code))
+                if not found:
+                    continue
+                take = pa.array(np.concatenate([r for r, _ in found]))
+                codes = np.concatenate([c for _, c in found]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(k).take(take) for k in keys]
-                    + [pa.array((found % CODES).astype(np.int32))], [*keys, "piece"])
+                    [part.column(k).take(take) for k in keys] + [pa.array(codes)], [*keys, "piece"])
 
     kept = rows.select(*keys, text)
     schema = ", ".join(f"{k} {dict(kept.dtypes)[k]}" for k in keys)
-    return kept.mapInArrow(cut, f"{schema}, piece int")
+    return kept.mapInArrow(cut, f"{schema}, piece long")

@@ -8,13 +8,15 @@ hit; an asset found both ways takes the larger.
 from pyspark.sql import DataFrame, functions as F
 
 from stacklore import constants as K
-from stacklore.functions.pieces import code_bits, text_pieces
+from stacklore.functions.pieces import piece_filter, text_pieces
 from stacklore.functions.text import wants_generation
 from stacklore.operators.catalogue import KEY, has_all_tags
 from stacklore.operators.vectors import knn, top_k
 from stacklore.session import cut_lineage
 
 SAMPLED = 64
+MANY = 2_000_000
+SLICE_KEYS = 256
 _FILTERS = ["text", "project", "language", "tags"]
 
 
@@ -44,29 +46,27 @@ def route_tags(queries: DataFrame) -> DataFrame:
     ).withColumn("text", F.when(~is_tag, F.col("text")))
 
 
-def _described(catalogue):
-    return F.lower(F.concat_ws("\0", "name", "description"))
+def _described():
+    return F.lower(F.concat_ws("\0", "name", "description")).alias("_described")
 
 
-def piece_postings(catalogue: DataFrame, bits=None) -> DataFrame:
-    """(project, name, piece) for the pieces of each asset's text, or those in ``bits``.
+def piece_postings(catalogue: DataFrame) -> DataFrame:
+    """(project, name, piece) for the pieces of each asset's text.
 
     Written as a table it is the index that ``keyword_matches`` can be given; without one
     the postings of the pieces in question are made as the texts are read.
     """
-    return text_pieces(catalogue.select(*KEY, _described(catalogue).alias("text")), KEY, "text", bits)
+    return text_pieces(catalogue.select(*KEY, _described()), KEY, "_described")
 
 
-def _postings(catalogue, index, pieces):
-    """The postings of these pieces, a table of narrow rows."""
+def _postings(texts, index, pieces):
+    """The postings of these pieces, a table of narrow rows; made ones hold few others too."""
     if index is not None:
         return index.join(pieces, "piece", "left_semi")
-    # At most as many numbers as there are pieces, sent as a set of fixed size.
-    found = pieces.toArrow().column("piece").to_numpy()
-    return piece_postings(catalogue, code_bits(found))
+    return text_pieces(texts, KEY, "_described", piece_filter(pieces))
 
 
-def _text_hits(specs, catalogue, index):
+def _text_hits(specs, catalogue, index, k):
     """(spec, project, name) of the assets that hold the spec's text and fit its filters.
 
     Each text asks for its rarest piece in the postings, as narrow rows; the assets that
@@ -74,26 +74,67 @@ def _text_hits(specs, catalogue, index):
     one in ``SAMPLED`` assets by hash: they choose the piece and so the cost, as every hit
     has all pieces of the text. Frequent pieces are keys of a plain join, which the skew
     join splits.
+
+    All hits are alike, so the best k are the first ones by key. Where more than ``MANY``
+    assets are to be met, the catalogue is gone through in slices in the order of its keys,
+    and specs that have k hits ask no more; the first k hits of each spec are returned then.
     """
     specs = specs.withColumn("needle", F.lower("q_text"))
     pieces = cut_lineage(text_pieces(specs, ["spec"], "needle", whole=True), "pieces")
+    texts = catalogue.select(*KEY, "language", "tags", _described())
     sample = F.pmod(F.xxhash64(*KEY), F.lit(SAMPLED)) == 0
     common = _postings(
-        catalogue.where(sample), index if index is None else index.where(sample),
+        texts.where(sample), index if index is None else index.where(sample),
         pieces.select("piece").distinct()).groupBy("piece").agg(F.count("*").alias("n"))
     rarest = pieces.join(common, "piece", "left").groupBy("spec").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("least"))
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least"))
     wanted = cut_lineage(specs.join(rarest, "spec").select(
-        "spec", "least.piece", "needle", *[f"q_{c}" for c in _FILTERS[1:]]), "asked")
-    rows = _postings(catalogue, index, wanted.select("piece").distinct())
-    found = cut_lineage(rows.join(wanted, "piece").where(
+        "spec", "least.*", "needle", *[f"q_{c}" for c in _FILTERS[1:]]), "asked")
+    if (wanted.agg(F.sum("n")).first()[0] or 0) * SAMPLED <= MANY:
+        return _hits_among(wanted, texts, index)
+    texts = cut_lineage(texts, "texts")
+    hits = None
+    for part in _key_slices(texts):
+        best = cut_lineage(top_k(_hits_among(
+            wanted, texts.where(part), index if index is None else index.where(part)
+        ).withColumn("similarity", F.lit(K.KEYWORD_SIMILARITY)), k, by=("spec",)).select(
+            "spec", *KEY), "best")
+        hits = best if hits is None else hits.unionByName(best)
+        full = hits.groupBy("spec").agg(F.count("*").alias("hits")).where(F.col("hits") >= k)
+        wanted = cut_lineage(wanted.join(full, "spec", "left_anti"), "asked")
+    return hits
+
+
+def _hits_among(wanted, texts, index):
+    """The hits of the specs ``wanted`` in these texts."""
+    rows = _postings(texts, index, wanted.select("piece").distinct())
+    found = cut_lineage(rows.join(wanted.drop("n"), "piece").where(
         F.col("q_project").isNull() | (F.col("q_project") == F.col("project"))).drop("piece"),
         "candidates")
-    texts = catalogue.select(*KEY, "language", "tags", _described(catalogue).alias("_described"))
     return found.join(texts, KEY).where(
         F.col("_described").contains(F.col("needle")) & _fits()).select("spec", *KEY)
 
 
+def _key_slices(rows):
+    """Conditions that cut rows by their keys, in order, each part three times all before it.
+
+    The cuts come from the keys of least hash. Rows without project or name come first, as
+    they do in the order of the best.
+    """
+    first = rows.select(*KEY).where("project is not null and name is not null").orderBy(
+        F.xxhash64(*KEY)).limit(SLICE_KEYS).collect()
+    keys = sorted(tuple(r) for r in first)
+    cuts = [keys[len(keys) // part] for part in (64, 16, 4)] if keys else []
+
+    def after(key):
+        project, name = F.col("project"), F.col("name")
+        return F.coalesce((project > key[0]) | ((project == key[0]) & (name > key[1])), F.lit(False))
+
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        yield (F.lit(True) if low is None else after(low)) & (
+            F.lit(True) if high is None else ~after(high))
+
+
 def _fits():
     """Whether an asset (project, language, tags) passes the filters q_project, ..."""
     return (
@@ -142,7 +183,7 @@ def keyword_matches(queries: DataFrame, catalogue: DataFrame, k, index=None) ->
     specs = cut_lineage(asked.groupBy("spec").agg(
         *[F.any_value(c).alias(f"q_{c}") for c in _FILTERS]), "specs")
     has_text = F.coalesce(F.length("q_text") > 0, F.lit(False))
-    hits = _text_hits(specs.where(has_text), catalogue, index)
+    hits = _text_hits(specs.where(has_text), catalogue, index, k)
     if not specs.where(~has_text).isEmpty():
         hits = hits.unionByName(_filter_hits(specs.where(~has_text), catalogue))
     best = top_k(hits.withColumn("similarity", F.lit(K.KEYWORD_SIMILARITY)), k,

@@ -169,6 +169,54 @@ def test_many_odd_texts_equal_brute_force(spark, monkeypatch):
     assert sorted((r["query_id"], r["name"]) for r in found) == sorted(expected)
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_first_hits_by_key_come_from_slices_of_the_catalogue(spark, tmp_path, monkeypatch, stored):
+    """Frequent texts ask in the first slices only; keys may be null or come twice."""
+    monkeypatch.setattr(search, "MANY", -1)
+    asked, sliced = [], search._hits_among
+
+    def counted(wanted, texts, index):
+        asked.append(wanted.count())
+        return sliced(wanted, texts, index)
+
+    monkeypatch.setattr(search, "_hits_among", counted)
+    assets = [asset(f"n{i:03}", "common words" + (" and a rare phrase" if i % 90 == 0 else ""),
+                    project=f"p{i % 3}") for i in range(300)]
+    assets += assets[5:8] + [asset("lost", "common words", project=None)]
+    texts = ["common", "common words", "on wo", "rare phrase", "n29", "absent words", "c"]
+    rows = spark.createDataFrame(assets, ASSET)
+    index = None
+    if stored:
+        search.piece_postings(rows).write.parquet(str(tmp_path / "index"))
+        index = spark.read.parquet(str(tmp_path / "index"))
+    found = search.keyword_matches(spark.createDataFrame(
+        [ask(i, t) for i, t in enumerate(texts)], QUERY), rows, 3, index).collect()
+    lowered = [(p, n, f"{n}\0{d}") for p, n, d, *_ in assets if p]
+    # An asset that comes twice is met by both of its texts.
+    expected = [(i, p, n) for i, t in enumerate(texts) for p, n in sorted(
+        (p, n) for p, n, x in lowered for q, m, y in lowered if (p, n) == (q, m) and t in x)[:3]]
+    assert sorted((r["query_id"], r["project"], r["name"]) for r in found) == sorted(expected)
+    assert len(asked) == 4 and asked[0] == len(texts) and asked[-1] < asked[0]
+
+
+def test_texts_that_share_only_short_pieces_are_not_met(spark, monkeypatch):
+    """Assets with all three-byte pieces of a text, but not the text, are no candidates."""
+    met, cut = [], search.cut_lineage
+
+    def counted(rows, label="step"):
+        kept = cut(rows, label)
+        if label == "candidates":
+            met.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(search, "cut_lineage", counted)
+    assets = [asset(f"a{i}", "alpha blue, pha be, a bet, betas") for i in range(200)]
+    assets.append(asset("b", "the alpha betas"))
+    found = search.keyword_matches(spark.createDataFrame([ask(1, "alpha betas")], QUERY),
+                                   spark.createDataFrame(assets, ASSET), 5).collect()
+    assert [r["name"] for r in found] == ["b"] and met == [1]
+
+
 def test_texts_meet_no_cross_join(spark):
     found = search.keyword_matches(spark.createDataFrame(ASKS, QUERY),
                                    spark.createDataFrame(ASSETS, ASSET), 5)
