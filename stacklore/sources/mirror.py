@@ -58,7 +58,7 @@ def write_code(catalogue: DataFrame, path):
     _by_folder(catalogue.select(
         *KEY, F.lower("language").alias("language"), extension("language").alias("extension"),
         "code", F.col("project").alias("folder"),
-    )).parquet(f"{path}/code")
+    )).option("compression", "zstd").parquet(f"{path}/code")
 
 
 def _by_folder(rows: DataFrame):
@@ -166,22 +166,31 @@ def mirror_join(meta: DataFrame, code: DataFrame, on=KEY) -> DataFrame:
     Both meet by ``on``, and by language and extension where ``code`` has these.
     """
     meta = meta.withColumn("language", F.coalesce("language", F.lit("python")))
+    # Hashes are made before the join, so a caller that wants no code has none shuffled.
     files = code.select(
-        *on, F.col("code").alias("_file_code"),
+        *[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], F.col("code").alias("_file_code"),
+        code_hash("code").alias("_file_hash"), F.col("code").isNotNull().alias("_from_file"),
         *([F.lower("language").alias("_language")] if "language" in code.columns else []),
         *([F.col("extension").alias("_extension")] if "extension" in code.columns else []))
-    match, keyed = [*on], meta
+    match = [F.col(c) == F.col(f"_on{i}") for i, c in enumerate(on)]
+    # Language and extension tell few rows of a key apart. They are compared in an order, which
+    # is no key of the join: rows then lie by ``on``, and a later join by it shuffles no texts.
     if "_language" in files.columns:
-        keyed = keyed.withColumn("_language", F.lower("language"))
-        match.append("_language")
+        match += _alike(F.lower("language"), F.col("_language"))
     if "_extension" in files.columns:
-        keyed = keyed.withColumn("_extension", extension("language"))
-        match.append("_extension")
-    joined = keyed.join(files, match, "left")
+        match += _alike(extension("language"), F.col("_extension"))
+    joined = meta.withColumn("_own_hash", code_hash("code")).join(files, match, "left")
+    from_file = F.coalesce("_from_file", F.lit(False))
     read = joined.withColumn("code", F.coalesce("_file_code", "code")).withColumn(
-        "code_from_file", F.col("_file_code").isNotNull())
-    return decode_lists(read.withColumn("code_hash", code_hash("code"))).drop(
-        "_language", "_extension", "_file_code")
+        "code_from_file", from_file).withColumn(
+        "code_hash", F.when(from_file, F.col("_file_hash")).otherwise(F.col("_own_hash")))
+    return decode_lists(read).drop(
+        "_language", "_extension", "_file_code", "_file_hash", "_own_hash", "_from_file",
+        *[f"_on{i}" for i in range(len(on))])
+
+
+def _alike(a, b):
+    return [a <= b, a >= b]
 
 
 def decode_lists(rows: DataFrame) -> DataFrame:
