@@ -18,7 +18,8 @@ from stacklore.functions.text import code_hash, extension
 from stacklore.operators.catalogue import KEY
 from stacklore.sources import tree
 
-_PATH = r"projects/([^/]+)/functions/([^/]+)/([^/]+)\.([^./]+)$"
+_META = r"^projects/([^/]+)/metadata/[^/]*\.json\z"
+_PATH = r"^projects/([^/]+)/functions/([^/]+)/([^/]+)\.([^./]+)$"
 
 
 def mirror_export(catalogue: DataFrame, path):
@@ -124,11 +125,6 @@ def records(texts: DataFrame, fields) -> DataFrame:
         F.coalesce(F.map_from_entries(last), none).alias("extra"))
 
 
-def _file_path():
-    """Path of the file of a row; a plus sign in it is no space."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
 def mirror_read_tree(spark, path) -> DataFrame:
     """Read the tree layout of every project.
 
@@ -136,26 +132,22 @@ def mirror_read_tree(spark, path) -> DataFrame:
     ``folder`` is kept beside ``project``. Files whose names start with ``_`` or ``.`` are
     passed over, as in any folder Spark reads; ``mirror_write_tree`` escapes such names.
     """
-    texts = (
-        spark.read.schema("value string")
-        .text(f"{path}/projects/*/metadata", wholetext=True, pathGlobFilter="*.json")
-        .withColumn("_place", F.regexp_extract(_file_path(), r"projects/([^/]+)/metadata/", 1))
-    )
+    places = tree.listed(spark, path)
+    texts = tree.contents(spark, places.where(F.col("place").rlike(_META)), path).select(
+        F.col("content").cast("string").alias("value"),
+        F.regexp_extract("place", _META, 1).alias("_place"))
     meta = (
         records(texts, schemas.MIRROR_METADATA).withColumnRenamed("_place", "folder")
         .withColumn("project", F.coalesce("project", "folder"))
         .where("name is not null").withColumn("_file", tree.file_name("name"))
         .withColumn("_kind", F.lower(tree.file_name(_language_folder())))
     )
-    # Folders are named, not files: Spark looks at each name it is given on the driver, and
-    # lists folders in a job. Read as bytes: the text reader drops the last line end.
-    files = spark.read.format("binaryFile").load(f"{path}/projects/*/functions/*").withColumn(
-        "_path", _file_path())
+    files = tree.contents(spark, places.where(F.col("place").rlike(_PATH)), path)
     code = files.select(
-        F.regexp_extract("_path", _PATH, 1).alias("folder"),
-        F.regexp_extract("_path", _PATH, 3).alias("_file"),
-        F.lower(F.regexp_extract("_path", _PATH, 2)).alias("_kind"),
-        F.regexp_extract("_path", _PATH, 4).alias("extension"),
+        F.regexp_extract("place", _PATH, 1).alias("folder"),
+        F.regexp_extract("place", _PATH, 3).alias("_file"),
+        F.lower(F.regexp_extract("place", _PATH, 2)).alias("_kind"),
+        F.regexp_extract("place", _PATH, 4).alias("extension"),
         F.decode("content", "UTF-8").alias("code"))
     return mirror_join(meta, code, ["folder", "_file", "_kind"]).drop("_file", "_kind")
 

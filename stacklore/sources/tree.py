@@ -9,6 +9,8 @@ Files are written in two steps, so that a task that fails or runs twice leaves n
    metadata. A move that was done before is passed over, so lost executors only repeat work,
    and ``finish`` ends what an interrupted driver left. What has no marker is never moved.
 
+Folders are listed and files are read by tasks as well; the driver holds no list of files.
+
 Tasks open files through pyarrow, so the path must be one that it knows (a folder that all
 executors mount, hdfs, s3, gs). One writer at a time may work on a tree.
 """
@@ -22,9 +24,13 @@ from pyarrow import fs as files
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from stacklore.session import cut_lineage, spread
+
 MOVES = "code_file string, code_target string, meta_file string, meta_target string"
 MARKER = "committed.json"
 NAME_BYTES = 200
+LISTED_ROWS = 10_000
+READ_FILES, READ_BYTES = 2_000, 4 << 20
 
 
 def file_name(name):
@@ -81,6 +87,75 @@ def finish(spark, path):
         hadoop.delete(_hadoop(spark, job)[1], True)
 
 
+def listed(spark, path) -> DataFrame:
+    """``place``, the path below ``path``, of every metadata and code file of the tree.
+
+    The list is written out once. As in any folder Spark reads, files whose names start with
+    ``_`` or ``.`` are passed over.
+    """
+    base = _qualified(spark, path)
+    hadoop, there = _hadoop(spark, f"{base}/projects")
+    if not hadoop.exists(there):
+        raise FileNotFoundError(f"no projects below {path}")
+
+    def inside(folders):
+        """What lies in the folders, each listed by a task of its own."""
+        return spread(folders.select("place"), 1).mapInArrow(
+            _lister(base), "place string, is_file boolean")
+
+    projects = inside(spark.createDataFrame([("projects",)], "place string")).where("not is_file")
+    parts = cut_lineage(inside(cut_lineage(projects, "projects")).where("not is_file"), "parts")
+    kinds = inside(parts.where(F.col("place").endswith("/functions"))).where("not is_file")
+    folders = cut_lineage(parts.where(F.col("place").endswith("/metadata")).unionByName(kinds), "folders")
+    name = F.substring_index("place", "/", -1)
+    hidden = r"^(?!_metadata|_common_metadata)(_[^=]*\z|\.)|\._COPYING_\z"
+    return cut_lineage(inside(folders).where("is_file").where(~name.rlike(hidden)).select("place"), "files")
+
+
+def contents(spark, places: DataFrame, path) -> DataFrame:
+    """``place`` and ``content``, the bytes of the file there."""
+    return spread(places.select("place"), READ_FILES).mapInArrow(
+        _reader(_qualified(spark, path)), "place string, content binary")
+
+
+def _lister(base):
+    def entries(batches):
+        system, inner = file_system(base)
+        for batch in batches:
+            for place in batch.column("place").to_pylist():
+                found = system.get_file_info(files.FileSelector(f"{inner}/{place}"))
+                for at in range(0, len(found), LISTED_ROWS):
+                    part = found[at:at + LISTED_ROWS]
+                    yield pa.record_batch({
+                        "place": pa.array([f"{place}/{f.base_name}" for f in part], pa.string()),
+                        "is_file": pa.array([f.type == files.FileType.File for f in part])})
+
+    return entries
+
+
+def _reader(base):
+    def read(batches):
+        system, inner = file_system(base)
+        for batch in batches:
+            place, held, size = [], [], 0
+            for one in batch.column("place").to_pylist():
+                with system.open_input_stream(f"{inner}/{one}", compression=None) as file:
+                    held.append(file.readall())
+                place.append(one)
+                size += len(held[-1])
+                if size >= READ_BYTES:
+                    yield _texts(place, held)
+                    place, held, size = [], [], 0
+            if place:
+                yield _texts(place, held)
+
+    return read
+
+
+def _texts(place, held):
+    return pa.record_batch({"place": pa.array(place, pa.string()), "content": pa.array(held, pa.binary())})
+
+
 def _hadoop(spark, path):
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
@@ -148,6 +223,12 @@ class PairFiles(DataSource):
         return PairWriter(self.options["staging"])
 
 
+def _rows(batch, most=64):
+    """The rows of a batch as Python values, few at a time."""
+    for at in range(0, batch.num_rows, most):
+        yield from batch.slice(at, most).to_pylist()
+
+
 class PairWriter(DataSourceArrowWriter):
     def __init__(self, staging):
         self.staging = staging
@@ -161,8 +242,7 @@ class PairWriter(DataSourceArrowWriter):
         count = 0
         with system.open_output_stream(f"{folder}/moves.json") as moves:
             for batch in iterator:
-                for at in range(batch.num_rows):
-                    row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                for row in _rows(batch):
                     line = {"code_target": row["code_target"], "meta_target": row["meta_target"]}
                     for kind in ("code", "meta"):
                         if row[kind] is not None:

@@ -68,6 +68,42 @@ def test_repeated_keys_nulls_and_empty_tables(spark, tmp_path):
     assert got == {("p", "f", "b"), ("default", "g", "c"), ("p", "unknown", "d")}
 
 
+def test_a_tree_is_listed_and_read_by_tasks(spark, tmp_path):
+    """Spark is given no file of the tree, so the driver holds none of their names."""
+    rows = assets(spark, [f"n{i}" for i in range(60)])
+    mirror.mirror_write_tree(rows, str(tmp_path))
+    code = tmp_path / "projects/p a/functions/python"
+    (code / "_n1.py").write_text("hidden"), (code / "deeper").mkdir()
+    (code / "deeper/n1.py").write_text("not here"), (tmp_path / "projects/file").write_text("")
+    (tmp_path / "projects/p a/metadata/note.txt").write_text("{}")
+    (tmp_path / "projects/_p/metadata/n1.json").unlink(missing_ok=True)
+    (code / "n1.py").write_bytes(b"\r\nlast line end \xc3\xa9\n")
+    back = mirror.mirror_read_tree(spark, str(tmp_path))
+    assert not [f for f in back.inputFiles() if "/projects/" in f]
+    got = by_name(back)
+    assert len(got) == back.count() == 60 and all(r["code_from_file"] for r in got.values())
+    assert got["n1"]["code"] == "\r\nlast line end \u00e9\n"
+    with pytest.raises(FileNotFoundError):
+        mirror.mirror_read_tree(spark, str(tmp_path / "none"))
+
+
+def test_a_later_join_by_key_shuffles_no_texts(spark, tmp_path):
+    """One shuffle of the metadata serves both joins, and code that nobody wants stays away."""
+    rows = assets(spark, [f"n{i}" for i in range(40)]).withColumn("project", F.lit("p"))
+    more = rows.where("version < 3").withColumns(
+        {"language": F.lit("rust"), "code": F.lit("other")})
+    mirror.mirror_export(rows.unionByName(more), str(tmp_path))
+    back = mirror.mirror_read(spark, str(tmp_path))
+    assert back.where("code <> 'other' and language = 'rust'").count() == 0
+    assert back.count() == 43 and back.where("code_from_file").count() == 43
+    keys = rows.select("project", "name").hint("merge")
+    plan = back.hint("merge").join(keys, ["project", "name"]).select("name", "code_hash", "version")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") <= 3
+    shuffled = [line for line in text.split("\n") if "Exchange hashpartitioning" in line]
+    assert shuffled and all("_file_code" not in line for line in text.split("\n"))
+
+
 def test_a_failed_task_leaves_no_half_asset(spark, tmp_path):
     old = assets(spark, ["a", "b", "c"], "old")
     mirror.mirror_write_tree(old, str(tmp_path))
